@@ -62,9 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SHINGLES = """
-    SELECT {id}, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+    SELECT {id}, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-    FROM (SELECT DISTINCT {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM {table} WHERE text IS NOT NULL)"""
+    FROM (SELECT DISTINCT {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL)"""
 
 ORACLE = {
     "op9_decontamination": f"""
