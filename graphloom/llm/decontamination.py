@@ -78,7 +78,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     sketch = shared.cut(sketches(with_shingles(bench, "item_text", "set").withColumn("set", F.array_distinct("set"))))
     few_items = sketch.count() <= BROADCAST_ROWS
     keys = sketch.groupBy("h").agg(F.collect_set("item_id").alias("items")) if few_items else sketch.select("h", "item_id")
-    probes = with_shingles(documents, "text", "hashes").select("doc_id", F.xxhash64("text").alias("t"), F.explode("hashes").alias("h"))
+    # explode would have its input tested for emptiness below the steps above, and so run them again
+    probes = with_shingles(documents, "text", "hashes").select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer("hashes").alias("h"))
     found = probes.join(F.broadcast(keys) if few_items else keys, "h")
     found = shared.cut(found.select("doc_id", "t", F.explode("items").alias("item_id") if few_items else F.col("item_id")).distinct())
     candidates = found.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_set("item_id").alias("items"))

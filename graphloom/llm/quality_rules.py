@@ -94,7 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFr
 
 
 def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, bins: int = 24, precision: float = 0.97, least: int = 8) -> list[Rule]:
-    """Sequential covering over binned statistics of labelled rows (``sample``); quality 0 is what rules reject.
+    """Sequential covering over binned statistics of labelled rows (``sample``) that pass the base rules; quality 0 is what rules reject.
 
     A rule grows by the threshold with the best FOIL gain, counted by one grouped query a literal over
     the rows that the list and the rule so far leave; two thirds of the rows (by a hash) grow it and the
@@ -104,11 +104,14 @@ def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, bins: int
     spark = rows.sparkSession
     values = features()
     asked = [k / bins for k in range(1, bins)]
-    cuts_row = rows.agg(*[F.percentile_approx(v, asked, 10_000).alias(k) for k, v in values.items()]).first()
+    cuts_row = rows.where(~base_failed()).agg(*[F.percentile_approx(v, asked, 10_000).alias(k) for k, v in values.items()]).first()
     cuts = {k: sorted(set(cuts_row[k] or [])) for k in values}
     fold = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).cast("int")
-    binned = F.array(*[F.size(F.filter(F.array(*map(F.lit, cuts[k])), lambda t, v=v: t < v)) if cuts[k] else F.lit(0) for k, v in values.items()])
-    table = shared.cut(rows.select((F.col("quality") == 0).cast("int").alias("bad"), fold.alias("prune"), binned.alias("bins")).coalesce(max(1, min(4, shared.partitions(spark)))))
+    def bin_of(value: Column, at: list[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, at)), lambda t: t < value)) if at else F.lit(0)
+
+    binned = F.array(*[bin_of(v, cuts[k]) for k, v in values.items()])
+    table = shared.cut(rows.where(~base_failed()).select((F.col("quality") == 0).cast("int").alias("bad"), fold.alias("prune"), binned.alias("bins")).coalesce(max(1, min(4, shared.partitions(spark)))))
     names = list(values)
 
     def covers(literal: tuple[int, bool, int]) -> Column:
@@ -146,11 +149,18 @@ def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, bins: int
         if bad == 0 or bad < precision * (bad + good):
             break
         literals = literals[:keep]
-        rules.append(Rule(tuple(Literal(names[f], above, float(cuts[names[f]][at])) for f, above, at in literals), bad, good))
+        rules.append(_widened(rows, Rule(tuple(Literal(names[f], above, float(cuts[names[f]][at])) for f, above, at in literals), bad, good)))
         left = left & ~all_of(literals)
     return rules
 
 
+def _widened(rows: DataFrame, rule: Rule) -> Rule:
+    """The rule with each threshold halfway to the rows that it covers (all but their outermost fiftieth)."""
+    values = features()
+    edges = rows.where(~base_failed() & rule.column() & (F.col("quality") == 0)).agg(*[F.percentile_approx(values[x.feature], 0.02 if x.above else 0.98, 10_000).alias(f"e{k}") for k, x in enumerate(rule.literals)]).first()
+    return Rule(tuple(Literal(x.feature, x.above, (x.threshold + edges[f"e{k}"]) / 2) for k, x in enumerate(rule.literals)), rule.bad, rule.good)
+
+
 def _best(counts: dict, n_features: int, bins: int, least: int):
     """The literal of largest FOIL gain: (gain, (feature, above, bin), (growing bad, growing good, pruning bad, pruning good))."""
     from math import log2

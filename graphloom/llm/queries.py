@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, quality_rules, secret_scan, token_counts, token_files, toxicity, url_filter
+from . import bpe_codec, decontamination, jaccard_join, quality_rules, secret_scan, suffix_dedup, token_counts, token_files, toxicity, url_filter
 
 
 def tokenizer() -> str:
@@ -23,10 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -58,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op4_secret_scan, op5_toxicity, op6_token_files, op7_url_filter, op8_quality_rules, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_codec, op3_jaccard_join, op4_secret_scan, op5_toxicity, op6_token_files, op7_url_filter, op8_quality_rules, op9_decontamination, op10_token_counts)}
 
 
 _SHINGLES = """
