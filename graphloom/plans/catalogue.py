@@ -1,11 +1,474 @@
-"""The query catalogue."""
+"""The query catalogue: what ``__spark_entry__`` registers, with the same answers as SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sets
+from ..operators import labels, local_fixpoint, pagerank, partitioning, shortest_paths, simulation
+from ..operators.graph import Graph
+from ..operators.recovery import cut
+from ..operators.supersteps import Metrics
+from ..sources import text, writers
+from ..sources.derived import part_graph, part_links, table
+
+K = 4  # partitions in the partitioning queries
+# The sample pattern, ``u attr k t1 ... tk`` on each line.
+PATTERN = ("1 0 2 2 3", "2 1 2 4 8", "3 2 2 4 7", "4 3 2 1 8", "5 3 3 3 6 8", "6 5 2 2 7", "7 6 1 4", "8 7 1 4")
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _links(least: int) -> str:
+    return f"""SELECT DISTINCT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b FROM lineitem WHERE l_quantity >= {least}) WHERE b IS NOT NULL AND a <> b"""
+
+
+def _with(least: int, *more: str, recursive: bool = False) -> str:
+    head = f"WITH {'RECURSIVE ' if recursive else ''}e AS MATERIALIZED ({_links(least)}), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+    return ", ".join([head, *more]) + " "
+
+
+_PLACED = f"p AS (SELECT src, dst, CAST((src * 31 + dst) % {K} AS INTEGER) AS part FROM e)"
+_REPLICAS = "r AS (SELECT part, id, min(part) OVER (PARTITION BY id) AS master_part FROM (SELECT part, src AS id FROM p UNION SELECT part, dst FROM p))"
+_OWNED = f"o AS (SELECT src, dst, CAST(src % {K} AS INTEGER) AS sp, CAST(dst % {K} AS INTEGER) AS dp FROM e)"
+
+
+def _g40(spark: SparkSession, sf_dir: str) -> Graph:
+    return part_graph(spark, sf_dir, 40)
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.placed_edges(_g40(spark, sf_dir), K)
+
+
+def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.owned_by_id(_g40(spark, sf_dir), K)
+
+
+def _source(graph: Graph) -> int:
+    """The least vertex with an edge out; -1 in an empty graph."""
+    return graph.edges.agg(F.coalesce(F.min("src"), F.lit(-1))).first()[0]
+
+
+def _pattern(spark: SparkSession) -> simulation.Pattern:
+    return simulation.Pattern.of(*text.parse_pattern(spark.createDataFrame([(x,) for x in PATTERN], "value string")))
+
+
+# the graph and its parts
+@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e")
+def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).edges
+
+
+@query(_with(40) + "SELECT id FROM v")
+def vertex_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).vertices.select("id")
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, min(l_quantity) AS weight FROM lineitem GROUP BY ALL")
+def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))).edges
+
+
+@query(_with(40) + "SELECT id, id % 100 AS attr FROM v")
+def vertex_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).vertices
+
+
+@query(_with(40) + "SELECT id % 100 AS attr, count(*) AS n FROM v GROUP BY ALL")
+def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertex_labels(spark, sf_dir).groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(1) + "SELECT src AS id, count(*) AS out_degree FROM e GROUP BY src")
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 1)).out_degree()
+
+
+@query(_with(1) + "SELECT dst AS id, count(*) AS in_degree FROM e GROUP BY dst")
+def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 1)).in_degree()
+
+
+@query(_with(40) + "SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS targets FROM e GROUP BY src")
+def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _g40(spark, sf_dir).adjacency().select("id", F.array_join(F.transform("targets", lambda x: x.cast("string")), " ").alias("targets"))
+
+
+@query(_with(40) + "SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
+def no_in_edge_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _g40(spark, sf_dir).without_in_edges().select("id")
+
+
+@query(_with(40) + "SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
+def dangling_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _g40(spark, sf_dir).without_out_edges().select("id")
+
+
+@query(_with(45) + "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM v)")
+def isolated_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 45), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+    return graph.isolated().select("id")
+
+
+@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src = (SELECT min(src) FROM e) AND dst = (SELECT min(dst) FROM e WHERE src = (SELECT min(src) FROM e))")
+def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _g40(spark, sf_dir)
+    src = _source(graph)
+    dst = graph.edges.where(F.col("src") == src).agg(F.coalesce(F.min("dst"), F.lit(-1))).first()[0]
+    return graph.edge(src, dst)
+
+
+@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e UNION SELECT dst, src, 1.0::DOUBLE FROM e")
+def symmetrised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _g40(spark, sf_dir).symmetrised().edges
+
+
+@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0")
+def graph_delete_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _g40(spark, sf_dir)
+    return graph.without_vertices(graph.vertices.where("id % 7 = 0").select("id")).edges
+
+
+@query(_with(40) + "SELECT src, dst, CASE WHEN src % 5 = 0 THEN 9.0 ELSE 1.0 END::DOUBLE AS weight FROM e UNION SELECT id, id + 1000000, 2.0::DOUBLE FROM v WHERE id % 50 = 0")
+def graph_upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _g40(spark, sf_dir)
+    changed = graph.edges.where("src % 5 = 0").select("src", "dst", F.lit(9.0).alias("weight"))
+    new = graph.vertices.where("id % 50 = 0").select(F.col("id").alias("src"), (F.col("id") + 1000000).alias("dst"), F.lit(2.0).alias("weight"))
+    return graph.with_edges(changed.union(new)).edges
+
+
+# partitions, replicas, borders, messages
+@query(_with(40, _PLACED) + "SELECT src, dst, part FROM p")
+def edge_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select("src", "dst", "part")
+
+
+@query(_with(40, _PLACED) + "SELECT part, count(*) AS n_edges FROM p GROUP BY part")
+def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.partition_sizes(_placed(spark, sf_dir))
+
+
+@query(_with(40, _PLACED, _REPLICAS) + "SELECT master_part AS part, id, coalesce(string_agg(part::VARCHAR, ' ' ORDER BY part) FILTER (part <> master_part), '') AS mirror_parts FROM r GROUP BY ALL")
+def vertex_cut_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.masters(_placed(spark, sf_dir)).select("part", "id", F.array_join(F.transform("mirror_parts", lambda p: p.cast("string")), " ").alias("mirror_parts"))
+
+
+@query(_with(40, _PLACED, _REPLICAS) + "SELECT part, id, master_part FROM r WHERE part <> master_part")
+def vertex_cut_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.mirrors(_placed(spark, sf_dir))
+
+
+@query(_with(40, _PLACED, _REPLICAS) + "SELECT count(DISTINCT id) AS n_vertices, count(*) AS n_replicas, count(*) / count(DISTINCT id)::DOUBLE AS factor FROM r")
+def replication_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.replication_factor(_placed(spark, sf_dir))
+
+
+@query(_with(40, _OWNED) + "SELECT sp AS part, src, dst, 1.0::DOUBLE AS weight FROM o WHERE sp = dp")
+def edge_cut_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.inner_edges(_owned(spark, sf_dir))
+
+
+@query(_with(40, _OWNED) + "SELECT dp AS part, dst AS own, src AS \"outer\", 1.0::DOUBLE AS weight, sp AS other_part FROM o WHERE sp <> dp")
+def border_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.border_in(_owned(spark, sf_dir))
+
+
+@query(_with(40, _OWNED) + "SELECT sp AS part, dst AS \"outer\", src AS own, 1.0::DOUBLE AS weight, dp AS other_part FROM o WHERE sp <> dp")
+def border_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.border_out(_owned(spark, sf_dir))
+
+
+@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight, CAST(n1.o_orderkey % 4 AS INTEGER) AS src_part, CAST(n2.o_orderkey % 4 AS INTEGER) AS dst_part FROM e JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n1 ON n1.o_custkey = src JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n2 ON n2.o_custkey = dst")
+def edge_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg((F.min("o_orderkey") % 4).cast("int").alias("part"))
+    return partitioning.with_owners(_g40(spark, sf_dir).edges, parts)
+
+
+_CHANGED = "c AS (SELECT part, id, id % 10 AS val FROM r WHERE id % 3 = 0)"
+
+
+def _changed(replicas: DataFrame) -> DataFrame:
+    return replicas.where("id % 3 = 0").select("part", "id", (F.col("id") % 10).alias("val"))
+
+
+@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, id, val FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part")
+def route_mirror_to_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = cut(_placed(spark, sf_dir))
+    return partitioning.to_master(_changed(partitioning.replicas(placed)), partitioning.mirrors(placed))
+
+
+@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT m.part AS dst_part, id, val FROM c JOIN r USING (part, id) JOIN r m USING (id) WHERE r.part = r.master_part AND m.part <> m.master_part")
+def route_master_to_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = cut(_placed(spark, sf_dir))
+    return partitioning.to_mirrors(_changed(partitioning.replicas(placed)), partitioning.masters(placed))
+
+
+@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, count(*) AS n_messages FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part GROUP BY ALL")
+def message_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.message_sizes(route_mirror_to_master(spark, sf_dir))
+
+
+# shortest paths
+_HOPS = "s(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT dst, d + 1 FROM s JOIN e ON src = id WHERE d < {most})"
+_WEIGHTED = "s(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT dst, d + 1 + (src * 7 + dst * 13) % 10 FROM s JOIN e ON src = id WHERE d < 110)"
+_DISTANCES = "SELECT id, min(d)::DOUBLE AS dist FROM s GROUP BY id"
+
+
+@query(_with(40, _HOPS.format(most=40), recursive=True) + _DISTANCES)
+def sssp_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _g40(spark, sf_dir)
+    return shortest_paths.sssp(graph, _source(graph))
+
+
+@query(_with(40, _WEIGHTED, recursive=True) + _DISTANCES)
+def sssp_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = part_graph(spark, sf_dir, 40, weighted=True)
+    return shortest_paths.sssp(graph, _source(graph))
+
+
+@query(_with(40, _WEIGHTED, recursive=True) + _DISTANCES)
+def sssp_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = part_graph(spark, sf_dir, 40, weighted=True)
+    return local_fixpoint.sssp_by_parts(graph, _source(graph), K)
+
+
+@query(_with(40, _HOPS.format(most=3), recursive=True) + _DISTANCES)
+def sssp_round_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _g40(spark, sf_dir)
+    return shortest_paths.sssp_rounds(graph, _source(graph), 3)
+
+
+@query("SELECT l_partkey AS id, 0.0::DOUBLE AS dist FROM lineitem WHERE l_partkey < 0")
+def sssp_missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortest_paths.sssp(_g40(spark, sf_dir), -1)
+
+
+@query(_with(40, _HOPS.format(most=40), recursive=True) + _DISTANCES)
+def sssp_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds first, then the rest from the border's messages."""
+    graph = _g40(spark, sf_dir)
+    state = cut(shortest_paths.sssp_rounds(graph, _source(graph), 3))
+    messages = state.join(graph.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"))
+    return shortest_paths.sssp_continue(graph, state, messages)
+
+
+# labels
+_MIN_LABEL = """r(id, label) USING KEY (id) AS (SELECT id, id FROM v UNION SELECT x.dst, min(r.label) FROM r JOIN {edges} x ON x.src = r.id JOIN recurring.r AS c ON c.id = x.dst
+        WHERE r.label < c.label GROUP BY x.dst)"""
+
+
+@query(_with(40, _MIN_LABEL.format(edges="e"), recursive=True) + "SELECT id, label FROM r")
+def min_label_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.min_label(_g40(spark, sf_dir))
+
+
+_BOTH = "b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+@query(_with(45, _BOTH, _MIN_LABEL.format(edges="b"), recursive=True) + "SELECT id, label FROM r")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.connected_components(part_graph(spark, sf_dir, 45))
+
+
+@query(_with(45, _BOTH, _MIN_LABEL.format(edges="b"), recursive=True) + "SELECT label, count(*) AS n FROM r GROUP BY label")
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.connected_components(part_graph(spark, sf_dir, 45)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# rank
+_RANKS = """g AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e),
+    st(it, id, pr, acc, err, d) AS (SELECT 0, v.id, 1.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, (SELECT sum(1.0::DOUBLE / deg) FROM g WHERE g.dst = v.id) FROM v
+      UNION ALL SELECT s.it + 1, s.id, CASE WHEN s.d IS NULL THEN s.pr ELSE 0.85 * (s.acc + s.d) + 1 - 0.85 END, s.acc + coalesce(s.d, 0), CASE WHEN s.d IS NOT NULL THEN abs(0.85 * (s.acc + s.d) + 1 - 0.85 - s.pr) END, c.d
+      FROM st s LEFT JOIN (SELECT g.dst, sum((0.85 * (t.acc + t.d) + 1 - 0.85 - t.pr) / g.deg) AS d FROM st t JOIN g ON g.src = t.id
+        WHERE t.d IS NOT NULL AND abs(0.85 * (t.acc + t.d) + 1 - 0.85 - t.pr) > 0.01 GROUP BY g.dst) c ON c.dst = s.id
+      WHERE s.it < {most} AND EXISTS (SELECT 1 FROM st u WHERE u.d IS NOT NULL))"""
+
+
+def _ranks(most: int) -> str:
+    return _with(40, _RANKS.format(most=most), recursive=True)
+
+
+@query(_with(40) + "SELECT id, 1.0::DOUBLE AS pr, round(s, 6) AS diff FROM v LEFT JOIN (SELECT dst, sum(1.0::DOUBLE / deg) AS s FROM (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e) GROUP BY dst) ON dst = id")
+def pagerank_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank.initial(_g40(spark, sf_dir)).select("id", "pr", F.round("diff", 6).alias("diff"))
+
+
+@query(_ranks(200) + "SELECT id, round(pr, 6) AS pr FROM st WHERE it = (SELECT max(it) FROM st)")
+def pagerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank.pagerank(_g40(spark, sf_dir)).select("id", F.round("pr", 6).alias("pr"))
+
+
+@query(_ranks(3) + "SELECT id, round(pr, 6) AS pr, round(acc, 6) AS acc, round(d, 6) AS diff FROM st WHERE it = 3")
+def pagerank_fixed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank.pagerank_rounds(_g40(spark, sf_dir), 3).select("id", F.round("pr", 6).alias("pr"), F.round("acc", 6).alias("acc"), F.round("diff", 6).alias("diff"))
+
+
+@query(_ranks(200) + "SELECT id, round(pr, 6) AS pr FROM st WHERE it = (SELECT max(it) FROM st) ORDER BY round(pr, 6) DESC, id LIMIT 20")
+def pagerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank_delta(spark, sf_dir).orderBy(F.desc("pr"), "id").limit(20)
+
+
+@query(_ranks(200) + "SELECT CAST(it AS INTEGER) AS round, round(max(err), 6) AS max_error FROM st WHERE it > 0 GROUP BY it")
+def pagerank_max_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors: list[float] = []
+    pagerank.pagerank(_g40(spark, sf_dir), errors=errors)
+    return spark.createDataFrame([(k + 1, e) for k, e in enumerate(errors)], "round int, max_error double").select("round", F.round("max_error", 6).alias("max_error"))
+
+
+# simulation, with labels modulo 8
+_VALUES = ", ".join("(" + x.split()[0] + ", " + x.split()[1] + ")" for x in PATTERN)
+_TARGETS = ", ".join(f"({x.split()[0]}, {t})" for x in PATTERN for t in x.split()[3:])
+_SIM = f"pv(u, attr) AS (VALUES {_VALUES}), pe(u, t) AS (VALUES {_TARGETS}), c AS MATERIALIZED (SELECT u, id AS v FROM v JOIN pv ON id % 8 = attr)"
+_REFINED = """st(it, u, v) AS (SELECT 0, u, v FROM c UNION ALL SELECT s.it + 1, s.u, s.v FROM st s
+      LEFT JOIN (SELECT k.v, k.u, count(*) AS n FROM (SELECT DISTINCT x.v, x.u, pe.t FROM st x JOIN pe ON pe.u = x.u JOIN e ON e.src = x.v JOIN st y ON y.v = e.dst AND y.u = pe.t) k GROUP BY k.v, k.u) h ON h.v = s.v AND h.u = s.u
+      WHERE s.it < {most} AND coalesce(h.n, 0) = (SELECT count(*) FROM pe WHERE pe.u = s.u))"""
+
+
+def _sim(spark: SparkSession, sf_dir: str) -> tuple[Graph, simulation.Pattern]:
+    return part_graph(spark, sf_dir, 1, modulus=8), _pattern(spark)
+
+
+@query(_with(1, _SIM) + "SELECT u::BIGINT AS u, v FROM c")
+def sim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulation.candidates(*_sim(spark, sf_dir))
+
+
+@query(_with(1, _SIM) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 8 IN (SELECT attr FROM pv) AND dst % 8 IN (SELECT attr FROM pv)")
+def sim_label_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, pattern = _sim(spark, sf_dir)
+    return graph.only_labels(pattern.frames(spark)[0]).edges
+
+
+@query(_with(1, _SIM) + "SELECT src AS v, u::BIGINT AS u, count(*) AS cnt FROM e JOIN c ON c.v = e.dst GROUP BY ALL")
+def sim_successor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulation.successor_counts(*_sim(spark, sf_dir))
+
+
+@query(_with(1, _SIM, _REFINED.format(most=1), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 1")
+def sim_refine_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulation.refined(*_sim(spark, sf_dir))
+
+
+@query(_with(1, _SIM, _REFINED.format(most=12), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 12")
+def graph_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulation.simulation(*_sim(spark, sf_dir))
+
+
+# rounds, sets, formats
+@query(_with(40, _HOPS.format(most=40), "f AS (SELECT id, min(d) AS d FROM s GROUP BY id)", recursive=True) + "SELECT CAST(d AS INTEGER) AS superstep, count(*) AS n_changed, CAST(sum(count(*)) OVER (ORDER BY d) AS BIGINT) AS n_state FROM f GROUP BY d")
+def superstep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, metrics = _g40(spark, sf_dir), Metrics()
+    shortest_paths.sssp(graph, _source(graph), metrics)
+    return metrics.frame(spark).where("n_changed > 0").select("superstep", "n_changed", "n_state")
+
+
+def _frontiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _g40(spark, sf_dir).vertices
+    return v.where("id % 2 = 0").select("id"), v.where("id % 3 = 0").select("id")
+
+
+@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 UNION SELECT id FROM v WHERE id % 3 = 0")
+def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.union(*_frontiers(spark, sf_dir))
+
+
+@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 INTERSECT SELECT id FROM v WHERE id % 3 = 0")
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.intersection(*_frontiers(spark, sf_dir))
+
+
+@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 EXCEPT SELECT id FROM v WHERE id % 3 = 0")
+def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.difference(*_frontiers(spark, sf_dir))
+
+
+@query(_with(40, "a AS (SELECT src, list(dst) AS l FROM e GROUP BY src)") + "SELECT src AS id, list_contains(l, src + 1) AS has_next, len(list_filter(l, lambda x: x <> src + 1)) AS n_others, list_has_any(l, [1, 2, 3]) AS meets FROM a")
+def set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _g40(spark, sf_dir).adjacency()
+    t, nxt = F.col("targets"), F.col("id") + 1
+    return rows.select("id", sets.has(t, nxt).alias("has_next"), sets.size(sets.removed(t, nxt)).cast("long").alias("n_others"), sets.meets(t, F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("meets"))
+
+
+@query(_with(45, "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FROM e GROUP BY src)", "n AS (SELECT max(id) AS m FROM v)") + "SELECT 0::BIGINT AS n, m || ' ' || (SELECT count(*) // 2 FROM e) || ' 001' AS value FROM n UNION ALL SELECT k, coalesce(line, '') FROM (SELECT unnest(range(1, m + 1)) AS k FROM n) LEFT JOIN a ON src = k")
+def metis_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.metis_lines(part_graph(spark, sf_dir, 45).edges)
+
+
+@query(_with(45, "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FROM e GROUP BY src)") + "SELECT src, dst, 1 AS weight FROM e")
+def metis_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.metis_graph(writers.metis_lines(part_graph(spark, sf_dir, 45).edges))
+
+
+@query(_with(45) + "SELECT src, dst, CAST(1 + (src + dst) % 9 AS INTEGER) AS weight FROM e")
+def dimacs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_graph(spark, sf_dir, 45).edges
+    lines = edges.select(F.concat_ws(" ", F.lit("a"), "src", "dst", 1 + (F.col("src") + F.col("dst")) % 9).alias("value"))
+    return text.parse_dimacs(lines.union(spark.createDataFrame([("c a comment",), ("p sp 1 1",)], "value string")))
+
+
+@query(f"SELECT * FROM (VALUES {_TARGETS}) t(u, t)".replace("SELECT *", "SELECT u::BIGINT AS u, t::BIGINT AS t"))
+def pattern_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.parse_pattern(spark.createDataFrame([(x,) for x in PATTERN], "value string"))[1]
+
+
+@query("SELECT o_custkey % 8 AS worker, string_agg((o_orderkey % 100)::VARCHAR, ' ' ORDER BY o_orderkey % 86400, o_orderkey % 100) AS times FROM orders GROUP BY ALL")
+def log_timing_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timing lines made from orders, read back and brought to one row a worker."""
+    second = F.col("o_orderkey") % 86400
+    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    lines = table(spark, sf_dir, "orders").select(F.concat(clock, F.lit(" worker "), F.col("o_custkey") % 8, F.lit(" duration time of calculation: "), F.col("o_orderkey") % 100).alias("line"))
+    rows = text.timing_rows(text.log_timings(lines))
+    return rows.select(F.col("workerId").cast("long").alias("worker"), F.array_join(F.transform("times", lambda x: x.cast("long").cast("string")), " ").alias("times"))
+
+
+@query(_with(40, _HOPS.format(most=40), recursive=True) + "SELECT id || chr(9) || CASE WHEN min(d) < 10 THEN min(d) || 'E+00' WHEN min(d) % 10 = 0 THEN (min(d) // 10) || 'E+01' ELSE (min(d) // 10) || '.' || (min(d) % 10) || 'E+01' END AS value FROM s GROUP BY id")
+def result_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.tsv_lines(sssp_hops(spark, sf_dir))
+
+
+@query(_with(40, _OWNED) + "SELECT sp AS part, src, string_agg(dst || ':1', ' ' ORDER BY dst) AS targets FROM o WHERE sp = dp GROUP BY ALL")
+def subgraph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = writers.subgraph_rows(_owned(spark, sf_dir))
+    return rows.select("part", "src", F.array_join(F.transform(F.map_entries("targets"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("long").cast("string"))), " ").alias("targets"))
+
+
+@query(_with(40, _OWNED, "b AS (SELECT sp AS part, 'F.O' AS side, dst AS vertex, src AS other, dp AS op FROM o WHERE sp <> dp UNION ALL SELECT dp, 'F.I', dst, src, sp FROM o WHERE sp <> dp)") + "SELECT part, side, vertex, string_agg(other || ':1 ' || op, ',' ORDER BY other) AS others FROM b GROUP BY ALL")
+def border_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = writers.border_rows(_owned(spark, sf_dir))
+    return rows.select("part", "side", "vertex", F.array_join(F.transform(F.map_entries("others"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"])), ",").alias("others"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, component and distance of every vertex of one graph."""
+    graph = _g40(spark, sf_dir)
+    rank = pagerank.pagerank(graph)
+    parts = labels.connected_components(graph)
+    hops = shortest_paths.sssp(graph, _source(graph))
+    return rank.join(parts, "id").join(hops, "id", "left").select("id", F.round("pr", 6).alias("pr"), F.col("label").alias("component"), F.col("dist").alias("hops"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
