@@ -42,14 +42,14 @@ def _settle_part(key: tuple, edges: pd.DataFrame, values: pd.DataFrame) -> pd.Da
 def sssp_by_parts(graph: Graph, source: int, k: int, metrics: Metrics | None = None) -> DataFrame:
     """``id`` and ``dist`` as ``sssp`` gives them, over ``k`` partitions of the edges."""
     placed = cut(placed_edges(graph, k))
-    where = cut(placed.select("part", F.explode(F.array("src", "dst")).alias("id")).distinct())
+    where = cut(placed.select(F.col("part").alias("at"), F.explode(F.array("src", "dst")).alias("id")).distinct())
     start = graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("changed"))
 
     def step(state: DataFrame) -> DataFrame:
-        there = state.join(where, "id")
-        live = there.where("changed").select("part").distinct()
-        values = there.join(live, "part").select("part", "id", "dist", "changed")
-        found = placed.join(live, "part", "left_semi").groupBy("part").cogroup(values.groupBy("part")).applyInPandas(_settle_part, "id long, dist double")
+        there = cut(state.join(where, "id"))
+        live = there.where("changed").select(F.col("at").alias("live")).distinct()
+        values = there.join(live, F.col("at") == F.col("live")).select("at", "id", "dist", "changed")
+        found = placed.join(live, F.col("part") == F.col("live"), "left_semi").groupBy("part").cogroup(values.groupBy("at")).applyInPandas(_settle_part, "id long, dist double")
         return relax(state, found, "dist")
 
     return settle(start, step, metrics).select("id", "dist")

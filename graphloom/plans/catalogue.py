@@ -408,14 +408,22 @@ def set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", sets.has(t, nxt).alias("has_next"), sets.size(sets.removed(t, nxt)).cast("long").alias("n_others"), sets.meets(t, F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("meets"))
 
 
-@query(_with(45, "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FROM e GROUP BY src)", "n AS (SELECT max(id) AS m FROM v)") + "SELECT 0::BIGINT AS n, m || ' ' || (SELECT count(*) // 2 FROM e) || ' 001' AS value FROM n UNION ALL SELECT k, coalesce(line, '') FROM (SELECT unnest(range(1, m + 1)) AS k FROM n) LEFT JOIN a ON src = k")
+_FROM_ONE = "f AS (SELECT src + 1 AS src, dst + 1 AS dst FROM e)"
+_LINES = "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FROM f GROUP BY src), n AS (SELECT max(id) + 1 AS m FROM v)"
+
+
+def _from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_graph(spark, sf_dir, 45).edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "weight")
+
+
+@query(_with(45, _FROM_ONE, _LINES) + "SELECT 0::BIGINT AS n, m || ' ' || (SELECT count(*) // 2 FROM e) || ' 001' AS value FROM n UNION ALL SELECT k, coalesce(line, '') FROM (SELECT unnest(range(1, m + 1)) AS k FROM n) LEFT JOIN a ON src = k")
 def metis_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.metis_lines(part_graph(spark, sf_dir, 45).edges)
+    return writers.metis_lines(_from_one(spark, sf_dir))
 
 
-@query(_with(45, "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FROM e GROUP BY src)") + "SELECT src, dst, 1 AS weight FROM e")
+@query(_with(45, _FROM_ONE) + "SELECT src, dst, 1 AS weight FROM f")
 def metis_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.metis_graph(writers.metis_lines(part_graph(spark, sf_dir, 45).edges))
+    return text.metis_graph(writers.metis_lines(_from_one(spark, sf_dir)))
 
 
 @query(_with(45) + "SELECT src, dst, CAST(1 + (src + dst) % 9 AS INTEGER) AS weight FROM e")

@@ -22,7 +22,8 @@ def metis_lines(edges: DataFrame) -> DataFrame:
     """The METIS text of a graph with ids 1 to n: (n, value) with the header as line 0; nodes without edges have empty lines."""
     pairs = F.array_sort(F.collect_list(F.struct("dst", F.col("weight").cast("long").alias("weight"))))
     lists = edges.groupBy("src").agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(" ", x["dst"].cast("string"), x["weight"].cast("string"))), " ").alias("value"))
-    size = edges.agg(F.max(F.greatest("src", "dst")).alias("nodes"), F.count(F.lit(1)).alias("n_edges"))
+    most = F.when(F.min(F.least("src", "dst")) < 1, F.raise_error(F.lit("METIS ids start at 1")).cast("long")).otherwise(F.max(F.greatest("src", "dst")))
+    size = edges.agg(most.alias("nodes"), F.count(F.lit(1)).alias("n_edges"))
     nodes = size.where("nodes is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), "nodes")).alias("src"))
     body = nodes.join(lists, "src", "left").select(F.col("src").alias("n"), F.coalesce("value", F.lit("")).alias("value"))
     head = size.select(F.lit(0).cast("long").alias("n"), F.concat_ws(" ", F.coalesce("nodes", F.lit(0)).cast("string"), F.floor(F.col("n_edges") / 2).cast("string"), F.lit("001")).alias("value"))
