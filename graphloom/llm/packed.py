@@ -21,7 +21,7 @@ from . import shared
 from .shared import U64
 
 #: Bytes of text in a batch, and of text whose values share a bucket.
-BATCH, BUCKET = 4 << 20, 32 << 20
+BATCH, BUCKET = 2 << 20, 32 << 20
 
 #: (ids, all bytes, offsets) of a batch's documents.
 Docs = tuple[np.ndarray, np.ndarray, np.ndarray]

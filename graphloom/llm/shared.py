@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle and checkpoint files of frames that nothing refers to any more.
+
+    The cleaner acts when the driver collects its garbage, which a small driver of a large job seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, whatever else the table has: the id as long and the text, a null text being empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -20,11 +20,23 @@ from . import shared
 from .shared import NO_ID, U64
 
 LENGTH, GRAM = 50, 16
-#: Windows in a piece; documents from which an anchor's windows are dealt one by one; bytes of pieces in a bucket.
-CHUNK, HOT, BUCKET = 60, 20_000, 12 << 20
+#: Windows in a piece; documents from which an anchor's windows are dealt one by one; bytes of pieces in a bucket; windows hashed at once.
+CHUNK, HOT, BUCKET, BLOCK = 60, 20_000, 2 << 20, 1 << 14
 _ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+def _least_hashes(data: np.ndarray) -> np.ndarray:
+    """For each window of ``LENGTH`` bytes, the least hash of its ``GRAM``-byte strings."""
+    h = data.astype(np.uint64) + U64(1)
+    for odd, size in zip(_ODD, (1, 2, 4, 8), strict=True):
+        h = h[:-size] * odd + h[size:]
+        h ^= h >> U64(31)
+    h = shared.mixed(h)
+    for step in (1, 2, 4, 8, 16, LENGTH - GRAM + 1 - 32):
+        h = np.minimum(h[:-step], h[step:])
+    return h
+
+
 def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring windows with one anchor: first positions, numbers of windows, anchors, rows of documents.
 
@@ -35,13 +47,9 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, np.zeros(0, np.uint64), none
-    h = data.astype(np.uint64) + U64(1)
-    for odd, size in zip(_ODD, (1, 2, 4, 8), strict=True):
-        h = h[:-size] * odd + h[size:]
-        h ^= h >> U64(31)
-    h = shared.mixed(h)
-    for step in (1, 2, 4, 8, 16, LENGTH - GRAM + 1 - 32):
-        h = np.minimum(h[:-step], h[step:])
+    h = np.empty(n, np.uint64)
+    for k in range(0, n, BLOCK):  # blocks stay in the cache
+        h[k : k + BLOCK] = _least_hashes(data[k : k + BLOCK + LENGTH - 1])
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
     valid = np.arange(n) + LENGTH <= at[1:][doc]
     new = valid.copy()
@@ -287,6 +295,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     """
     packed = packs.pack(docs, id_col, text_col)
     flags = packs.shared_flags(packed, _anchors, packs.bucket_count(packed), HOT)
+    shared.release(docs.sparkSession)
     n_shared = flags.agg(F.sum("n_shared")).first()[0] or 0
     buckets = max(1, -(-n_shared * (LENGTH + 18) // BUCKET))
     batches, empty = packed.drop("size"), F.lit(None).cast("binary")
