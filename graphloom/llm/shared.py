@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.recovery import cut, shared_dir
+
+__all__ = ["NO_ID", "U64", "cut", "id_and_text", "id_array", "ids_of", "mixed", "partitions", "release", "shared_dir", "slices", "utf8"]
+
 #: Stands for a null id where ids are held as 64-bit integers.
 NO_ID = np.iinfo(np.int64).max
 
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so that later steps reread it whatever executors are lost."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle and checkpoint files of frames that nothing refers to any more.
 

@@ -65,8 +65,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
     """Documents, longer documents and tokens kept for any context limits, also lengths that no document has."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    agg = sums.crossJoin(F.broadcast(asked)).groupBy("context_limit").agg(
+    rows = sums.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit"))
+    return rows.groupBy("context_limit").agg(
         F.sum("n_docs").alias("n_docs"), F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("n_cut"), F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("kept_tokens")
     )
-    return agg
