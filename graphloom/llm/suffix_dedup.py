@@ -20,8 +20,9 @@ from . import shared
 from .shared import NO_ID, U64
 
 LENGTH, GRAM = 50, 16
-#: Windows in a piece; documents from which an anchor's windows are dealt one by one; bytes of pieces in a bucket; windows hashed at once.
-CHUNK, HOT, BUCKET, BLOCK = 60, 20_000, 2 << 20, 1 << 14
+#: Windows in a piece; documents from which an anchor's windows are dealt one by one; bytes of pieces
+#: in a bucket; indexes in a bucket; windows hashed at once.
+CHUNK, HOT, BUCKET, PARTS, BLOCK = 60, 20_000, 16 << 20, 16, 1 << 14
 _ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -69,7 +70,7 @@ class Pieces:
     """The pieces of a batch: windows whose anchor other documents have, as short strings, each content once.
 
     ``first`` and ``windows`` are of occurrences, ``of`` is the number of an occurrence's content;
-    ``content``, ``owner`` (least id) and ``bucket`` are of contents. A hot anchor's windows are pieces
+    ``content``, ``owner`` (least id), ``bucket`` and ``part`` of it are of contents. A hot anchor's windows are pieces
     of their own, dealt by what they hold, so that no bucket gets all of a frequent string's surroundings.
     """
 
@@ -97,50 +98,98 @@ class Pieces:
         by_content[self.of] = hot[of_run]
         for c in np.flatnonzero(by_content).tolist():
             key[c] = xxhash.xxh3_64_intdigest(self.content[c])
-        self.bucket = packs.bucket_of(key, buckets)
-        self.order = np.argsort(self.bucket, kind="stable")
+        fine = packs.bucket_of(key, buckets * PARTS)
+        self.bucket, self.part = fine // PARTS, fine % PARTS
+        self.order = np.argsort(fine, kind="stable")
+
+
+def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ranks of the suffixes of marked strings, and ranks by a first part of them of 25 to 50 symbols, and its size.
+
+    ``codes`` has 0 for marks, ``left`` is the distance to the next mark and ``depth`` the longest string. Equal
+    suffixes have equal ranks: the first place of their group. Prefix doubling, starting from as many
+    symbols as fit a word and sorting only suffixes whose group is not single yet, each sort being one of
+    plain integers that end in the position.
+    """
+    n = len(codes)
+    bits, index = max(1, int(codes.max()).bit_length()), max(1, (n - 1).bit_length())
+    first = max(1, min((63 - index) // bits, 50))
+    key = np.zeros(n, np.int64)
+    padded = np.append(codes, np.zeros(first, np.int64))
+    for k in range(first):
+        key = (key << bits) | np.where(left > k, padded[k : k + n], 0)
+    key = np.sort((key << index) | np.arange(n))
+    at, group = key & ((1 << index) - 1), key >> index
+    rank, size, windows = np.empty(n, np.int64), first, None
+    new = np.append(True, group[1:] != group[:-1])
+    place = np.flatnonzero(new)
+    rank[at] = np.repeat(place, np.diff(np.append(place, n)))
+    single = new & np.append(new[1:], True)
+    live = at[~single]
+    while True:
+        if 2 * size >= LENGTH >= size:
+            windows, part = rank.copy(), size
+        if size >= depth or not len(live):
+            return rank, windows if windows is not None else rank, part if windows is not None else LENGTH
+        inner = left[live] > size
+        follow = np.zeros(len(live), np.int64)
+        follow[inner] = rank[live[inner] + size] + 1
+        old = rank[live]
+        if 3 * index + 1 <= 63:
+            key = np.sort((((old << (index + 1)) | follow) << index) | live)
+            live, pair = key & ((1 << index) - 1), key >> index
+            old = pair >> (index + 1)
+        else:
+            order = np.lexsort((follow, old))
+            live, old = live[order], old[order]
+            pair = old * (n + 2) + follow[order]
+        m = len(live)
+        new_old = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        new = np.append(True, pair[1:] != pair[:-1])
+        place = np.flatnonzero(new)
+        begin = np.repeat(new_old, np.diff(np.append(new_old, m)))
+        rank[live] = old + np.repeat(place, np.diff(np.append(place, m))) - begin
+        live = live[~(new & np.append(new[1:], True))]
+        size *= 2
 
 
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of strings, with suffix positions sampled at both ends of each run.
 
-    Strings are separated by a mark below all bytes; suffixes are sorted up to their mark and then by
-    string. Suffix ranks come from prefix doubling over seven packed symbols.
+    Strings are separated by a mark below all bytes; suffixes are sorted up to their mark and then by string.
     """
 
     def __init__(self, strings: list[bytes], owners: np.ndarray):
         sizes = np.array([len(s) for s in strings], np.int64)
         self.n = n = int(sizes.sum()) + len(strings)
-        symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
+        text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
-        symbols[self.ends] = 0
+        used = np.zeros(256, np.int64)
+        used[text] = 1
+        codes = np.cumsum(used)[text]  # 1 and up, in the order of bytes
+        codes[self.ends] = 0
         string = np.repeat(np.arange(len(strings)), sizes + 1)
         left = self.ends[string] - np.arange(n)
-        self.symbols = np.append(symbols, np.zeros(8, np.int64))
-        packed = np.zeros(n, np.int64)
-        for k in range(7):
-            packed = (packed << 9) | np.where(left > k, self.symbols[k : k + n], 0)
-        self.packed = np.append(packed, np.zeros(128, np.int64))
-        rank, depth, longest, windows = np.unique(packed, return_inverse=True)[1], 7, int(sizes.max()), None
-        while True:
-            if depth == 28:
-                windows = rank
-            if depth >= longest:
-                break
-            follow = np.zeros(n, np.int64)
-            inner = np.flatnonzero(left > depth)
-            follow[inner] = rank[inner + depth] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + follow, return_inverse=True)[1]
-            depth *= 2
-        suffixes = np.argsort(rank, kind="stable")
-
-        bwt = symbols[suffixes - 1]
+        self.symbols = np.append(codes, np.zeros(8, np.int64))
+        self.bits = max(1, int(codes.max()).bit_length())
+        self.width = 63 // self.bits
+        self.packed = np.zeros(n + 128, np.int64)
+        padded = np.append(codes, np.zeros(self.width, np.int64))
+        for k in range(self.width):
+            self.packed[:n] = (self.packed[:n] << self.bits) | np.where(left > k, padded[k : k + n], 0)
+        rank, windows, part = suffix_ranks(codes, left, int(sizes.max()))
+        # equal suffixes stand in the order of their strings
+        ordered = np.sort((rank << 32) | np.arange(n))
+        suffixes = ordered & 0xFFFFFFFF
+
+        bwt = codes[suffixes - 1]
         heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         tails = np.append(heads[1:], n) - 1
         jump = np.empty(n, np.int64)
-        jump[np.argsort(bwt, kind="stable")] = np.arange(n)
+        jump[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
         self.head, self.char, self.jump = heads, bwt[heads], jump[heads]
+        self.run = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, n)))
         self.head_at, self.tail_at, self.tail = suffixes[heads], suffixes[tails], tails
         self.by_char = np.argsort(self.char, kind="stable")
         self.char_run = self.char[self.by_char] * len(heads) + self.by_char
@@ -150,7 +199,7 @@ class RunIndex:
         inner = suffixes[left[suffixes] >= LENGTH]
         self.least = np.full(n, NO_ID)
         if len(inner):
-            a, b = windows[inner], windows[inner + LENGTH - 28]
+            a, b = windows[inner], windows[inner + LENGTH - part]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             groups = np.flatnonzero(new)
             least = np.minimum.reduceat(owners[string[inner]], groups)
@@ -161,12 +210,12 @@ class RunIndex:
         out, live, k = np.minimum(most, 0), np.arange(len(a)), 0
         while len(live):
             x = self.packed[a[live] + k] ^ self.packed[b[live] + k]
-            same = np.full(len(live), 7)
-            for j in range(7):  # the first symbol that differs
-                same[(x >> (9 * j)) & 511 != 0] = 6 - j
+            same = np.full(len(live), self.width)
+            for j in range(self.width):  # the first symbol that differs
+                same[(x >> (self.bits * j)) & ((1 << self.bits) - 1) != 0] = self.width - 1 - j
             out[live] = np.minimum(k + same, most[live])
-            k += 7
-            live = live[(same == 7) & (k < most[live])]
+            k += self.width
+            live = live[(same == self.width) & (k < most[live])]
         return out
 
     def statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,7 +229,7 @@ class RunIndex:
             row, at, size = row[:live], at[:live], size[:live]
             here = ends[:live] - t
             c = self.symbols[here]
-            run = np.searchsorted(self.head, row, side="right") - 1
+            run = self.run[row]
             miss = np.flatnonzero(self.char[run] != c)
             if len(miss):
                 k = np.searchsorted(self.char_run, c[miss] * runs + run[miss])
@@ -218,22 +267,30 @@ def _send(buckets: int):
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 some = pieces.order[cuts[k] : cuts[k + 1]]
                 content = [pieces.content[c] for c in some.tolist()]
-                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), b"".join(content)))
-        return pd.DataFrame(out, columns=["bucket", "batch", "owners", "sizes", "content"])
+                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), pieces.part[some].astype(np.uint8).tobytes(), b"".join(content)))
+        return pd.DataFrame(out, columns=["bucket", "batch", "owners", "sizes", "parts", "content"])
 
     return send
 
 
 def _index(part: pd.DataFrame) -> pd.DataFrame:
+    """Index the distinct pieces of a bucket, each part of it by itself, and answer every batch."""
     seen: dict[bytes, int] = {}
-    rows, owners = [], []
-    for held, sizes, content in zip(part["owners"], part["sizes"], part["content"], strict=True):
+    rows, owners, places = [], [], []
+    for held, sizes, where, content in zip(part["owners"], part["sizes"], part["parts"], part["content"], strict=True):
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         rows.append(np.array([seen.setdefault(content[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
         owners.append(np.frombuffer(held, np.int64))
-    least = np.full(len(seen), NO_ID)
-    np.minimum.at(least, np.concatenate(rows), np.concatenate(owners))
-    found = least_owners(list(seen), least)
+        places.append(np.frombuffer(where, np.uint8))
+    contents, each = list(seen), np.concatenate(rows)
+    least, place = np.full(len(seen), NO_ID), np.zeros(len(seen), np.int64)
+    np.minimum.at(least, each, np.concatenate(owners))
+    place[each] = np.concatenate(places)
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
+    for k in np.unique(place).tolist():
+        some = np.flatnonzero(place == k)
+        for c, x in zip(some.tolist(), least_owners([contents[c] for c in some.tolist()], least[some]), strict=True):
+            found[c] = x
     squeeze = zstandard.ZstdCompressor(level=1)
     blobs = [squeeze.compress(np.concatenate([found[c] for c in row.tolist()]).tobytes()) for row in rows]
     return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "least": blobs})
@@ -284,9 +341,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
        distinct anchors tells each batch which of its anchors other documents have; the rest of the text
        cannot match.
     2. Windows with such an anchor travel, as short pieces and each content once a batch, to the bucket of
-       their anchor; equal windows meet there. A bucket builds a run-compressed BWT with sampled run ends
-       over its distinct pieces, streams every piece through it for matching statistics, and where the match
-       has 50 bytes or more reads the least id that holds the window.
+       their anchor; equal windows meet there. Each part of a bucket builds a run-compressed BWT with sampled
+       run ends over its distinct pieces, streams every piece through it for matching statistics, and where
+       the match has 50 bytes or more reads the least id that holds the window.
     3. The answers return to the batches, which mark the bytes.
 
     Buckets follow the amount of shared text; an anchor of very many documents is dealt window by window.
@@ -299,7 +356,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     n_shared = flags.agg(F.sum("n_shared")).first()[0] or 0
     buckets = max(1, -(-n_shared * (LENGTH + 18) // BUCKET))
     batches, empty = packed.drop("size"), F.lit(None).cast("binary")
-    sent = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_send(buckets), "bucket int, batch long, owners binary, sizes binary, content binary")
+    sent = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_send(buckets), "bucket int, batch long, owners binary, sizes binary, parts binary, content binary")
     told = sent.groupBy("bucket").applyInPandas(_index, "batch long, bucket int, least binary")
     answers = flags.select("batch", "bucket", "n", "shared", "hot", empty.alias("least")).union(told.select("batch", "bucket", F.lit(0).alias("n"), empty.alias("shared"), empty.alias("hot"), "least"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary, kept_sha256 string"
