@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed as packs
@@ -17,8 +17,9 @@ from .components import components
 from .shared import U64
 
 WORDS, PERCENT = 4, 85
-#: Share of the hash space whose shingles are first asked for (as a shift: 1/4), star rounds, members of a group.
-ZONE_SHIFT, STARS, GROUP = 62, 4, 16
+#: Share of the hash space whose shingles are first asked for (as a shift: 1/4), star rounds, members of a
+#: group, queries that meet a group at once.
+ZONE_SHIFT, STARS, GROUP, QUERIES = 62, 4, 64, 512
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +72,7 @@ def _zone(ids: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 
 
 def _sets(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """A row for each document of a batch; its set only if enough of its zone is shared for a link to be possible."""
+    """A row for each document of a batch; its set only if enough of its zone is shared for a link to be possible, and once."""
     out = []
     if len(docs):
         row = docs.iloc[0]
@@ -85,12 +86,15 @@ def _sets(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame
             alone[asked] = ~known[np.searchsorted(np.unique(zone), zone)]
         missing = np.append(0, np.cumsum(alone))
         missing = missing[ends[1:]] - missing[ends[:-1]]
+        sent: set[bytes] = set()
         seeds = (np.arange(1, STARS + 1, dtype=np.uint64) * _STEP)[:, None]
         for k, doc in enumerate(ids.tolist()):
             s = h[ends[k] : ends[k + 1]]
             if len(s) and missing[k] <= (100 - PERCENT) * len(s) // 100:
-                mins = shared.mixed(s[None, :] ^ seeds).min(axis=1).view(np.int64)
-                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), mins.tolist(), s.tobytes()))
+                node = xxhash.xxh3_128_digest(s.tobytes())
+                mins = None if node in sent else shared.mixed(s[None, :] ^ seeds).min(axis=1).view(np.int64).tolist()
+                out.append((doc, len(s), node, mins, None if node in sent else s.tobytes()))
+                sent.add(node)
             else:
                 out.append((doc, len(s), None, None, None))
     return pd.DataFrame(out, columns=["doc_id", "n_shingles", "node", "mins", "tokens"])
@@ -107,37 +111,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select([0, 1]).filter(pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of a node: each of its least hashes, as many as a link must share one of, with its size class and the next."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a node: its hashes in the zone, or more of its least hashes where these are too few for a link's partner to have one."""
     for part in shared.slices(batches, 4096):
-        keys, which = [], []
-        for k, raw in enumerate(part.column(1).to_pylist()):
+        keys = []
+        for raw in part.column(2).to_pylist():
             s = np.frombuffer(raw, np.uint64)
-            s = s[: (100 - PERCENT) * len(s) // 100 + 1]
-            size = int(np.log(len(raw) // 8) / -np.log(PERCENT / 100) + 1e-9)
-            keys += [shared.mixed(s ^ U64((size + j + 1) * int(_STEP) % 2**64)) for j in (0, 1)]
-            which.append(2 * len(s))
+            keys.append(s[: max((100 - PERCENT) * len(s) // 100 + 1, int(np.searchsorted(s, U64(1 << ZONE_SHIFT))))])
         if keys:
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), which))), pa.array(np.concatenate(keys).view(np.int64))], ["node", "key"])
+            at = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(keys).view(np.int64))], ["id", "c", "key"])
 
 
-def _group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """A group with the union of its members' tokens."""
-    union = np.unique(np.frombuffer(b"".join(part["tokens"]), np.uint64))
-    return pd.DataFrame({"g": [key[0]], "members": [list(part["node"])], "sets": [list(part["tokens"])], "tokens_of_all": [union.tobytes()]})
+def _open(key: tuple, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Bound the overlap of each query with the group by the group's union; only where it qualifies look at the members.
 
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bound the overlap of a query with a group by the group's union; only where it qualifies look at the members."""
-    for part in shared.slices(batches, 64):
-        links = []
-        for row in part.to_pylist():
-            q = np.frombuffer(row["tokens"], np.uint64)
-            bound = len(np.intersect1d(q, np.frombuffer(row["tokens_of_all"], np.uint64), assume_unique=True))
-            if 100 * bound >= PERCENT * len(q):
-                links += [(row["node"], m) for m, s in zip(row["members"], row["sets"], strict=True) if linked(q, np.frombuffer(s, np.uint64))]
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+    A query needs one link to each component that the group has members of.
+    """
+    links = []
+    if len(queries) and len(members):
+        sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
+        union = np.unique(np.concatenate(sets))
+        held = list(zip(members["c"].tolist(), members["node"], sets, strict=True))
+        for node, c, raw in zip(queries["node"], queries["c"].tolist(), queries["tokens"], strict=True):
+            q = np.frombuffer(raw, np.uint64)
+            if 100 * int(np.isin(q, union, assume_unique=True).sum()) < PERCENT * len(q):
+                continue
+            done = set()
+            for other, member, s in held:
+                if other < c and other not in done and 100 * min(len(q), len(s)) >= PERCENT * max(len(q), len(s)) and linked(q, s):
+                    done.add(other)
+                    links.append((node, member))
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,22 +156,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     2. Equal sets are one node. Nodes with a common min-hash are compared with the first of them, in
        four rounds of stars, and verified links make components. This is where large groups of copies
        fall together without their pairs.
-    3. The token-group matrix finds what is left, exactly: components are cut into groups of about 16
-       nodes, each with the union of its members' tokens. A link shares one of the least hashes of both
-       sides (prefix filter, by size class), so a node is a query only for groups of other components
-       with which it shares such a key; the query's overlap with the union bounds every member's; groups
-       that reach 85 percent are opened and members verified.
+    3. The token-group matrix finds what is left, exactly. Nodes with a common min-hash form groups of about
+       64. The first test holds between components too: a node with fewer hashes in the zone that other
+       components have than a link asks for is done. Each node left is a query for the groups that hold one
+       of its rarest such hashes, as many as it takes for every partner to have one. The query's overlap
+       with the union of a group's tokens bounds every member's; groups that reach 85 percent are opened
+       and members of other components verified. Groups with many queries meet them in parts.
 
     Null and empty texts, and texts of white space, have no shingles and form components of their own.
     Repeated rows link; rows with one id and different texts are different nodes; a null id counts as
     the largest, and a component of null ids alone has a null id. An empty table gives an empty one.
     """
+    spark = docs.sparkSession
     packed = packs.pack(docs, id_col, text_col)
     flags = packs.shared_flags(packed, _zone, packs.bucket_count(packed))
     rows = packed.drop("size").groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_sets, "doc_id long, n_shingles long, node binary, mins array<long>, tokens binary")
     rows = shared.cut(rows)
+    del packed, flags
+    shared.release(spark)
     some = rows.where("node is not null")
-    nodes = shared.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins"), F.first("tokens").alias("tokens")))
+    first = lambda name: F.first(name, ignorenulls=True).alias(name)
+    nodes = shared.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n"), first("mins"), first("tokens")))
+    rows = shared.cut(rows.select("doc_id", "n_shingles", "node"))
+    del some
+    shared.release(spark)
 
     keyed = nodes.select("node", "doc_id", "n", F.posexplode("mins").alias("r", "m"))
     centres = keyed.groupBy("r", "m").agg(F.min(F.struct("doc_id", "node", "n")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("r", "m", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
@@ -176,19 +189,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stars = pairs.join(tokens, "node").join(of("centre", "other"), "centre").select("node", "centre", "tokens", "other").mapInArrow(_verify, "node binary, centre binary")
     stars = shared.cut(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")))
 
-    placed = nodes.select("node").join(components(stars), "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
-    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    del keyed, centres, pairs
+    shared.release(spark)
+
+    placed = nodes.select("node", "n", F.col("mins")[0].alias("m")).join(components(stars), "node", "left").select("node", "n", "m", F.coalesce("label", "node").alias("comp"))
+    sizes = placed.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
-    placed = shared.cut(placed.join(sizes, "comp").select("node", F.xxhash64("comp").alias("c"), F.xxhash64("comp", chunk).alias("g")))
-    keys = tokens.mapInArrow(_prefixes, "node binary, key long").join(placed, "node")
-    open_keys = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    keys = shared.cut(keys.join(open_keys, "key"))
-    queries = keys.select("key", "node", "c")
-    groups = keys.select("key", "g", F.col("c").alias("gc")).distinct()
-    asked = shared.cut(queries.join(groups, "key").where("c > gc").select("node", "g").distinct())
-    members = placed.join(asked.select("g").distinct(), "g").join(tokens, "node").select("g", "node", "tokens")
-    matrix = members.groupBy("g").applyInPandas(_group, "g long, members array<binary>, sets array<binary>, tokens_of_all binary")
-    more = asked.join(tokens, "node").join(matrix, "g").select("node", "tokens", "members", "sets", "tokens_of_all").mapInArrow(_open, "a binary, b binary")
+    placed = shared.cut(placed.join(sizes, "m").select("node", F.xxhash64("node").alias("id"), "n", F.xxhash64("comp").alias("c"), F.xxhash64("m", chunk).alias("g")))
+    keys = shared.cut(placed.join(tokens, "node").select("id", "c", "tokens").mapInArrow(_keys, "id long, c long, key long"))
+    need = F.col("k") - F.floor(F.col("n") * (100 - PERCENT) / 100)
+    asking = shared.cut(placed.join(keys.groupBy("id").agg(F.count(F.lit(1)).alias("k")), "id").select("id", "node", "g", need.alias("need")))
+    for _ in range(2):  # nodes with enough keys that other components have too; who leaves may take others along
+        open_keys = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        keys = keys.join(open_keys, "key")
+        enough = keys.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(asking, "id").where("have >= need").select("id")
+        keys = shared.cut(keys.join(enough, "id").select("id", "c", "key"))
+        shared.release(spark)
+    groups = shared.cut(keys.join(asking.select("id", "g"), "id").groupBy("key", "g").agg(F.min("c").alias("gc")))
+    counts = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n_groups"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n_groups", "key"))
+    have = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    rare = keys.join(counts, "key").select("id", "c", "key", rank.alias("rank"), have.alias("have")).join(asking.select("id", "node", "need"), "id").where("rank <= have - need + 1").select("node", "c", "key")
+    asked = shared.cut(rare.join(groups, "key").where("c > gc").select("node", "c", "g").distinct())
+    shared.release(spark)
+    parts = shared.cut(asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+    queries = asked.join(parts, "g").select("g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "c").join(tokens, "node")
+    members = placed.select("g", "node", "c").join(parts, "g").join(tokens, "node").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("node"), "c", "tokens")
+    more = shared.cut(queries.select(F.col("g").alias("qg"), F.col("part").alias("qp"), "node", "c", "tokens").groupBy("qg", "qp").cogroup(members.groupBy("g", "part")).applyInPandas(_open, "a binary, b binary"))
 
     labels = components(stars.union(more))
     nodes = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
