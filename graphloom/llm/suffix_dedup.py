@@ -263,11 +263,11 @@ def _send(buckets: int):
         if len(docs) and len(answers):
             row = docs.iloc[0]
             pieces = Pieces(packs.opened(row["ids"], row["ends"], row["text"]), answers, buckets)
-            cuts = np.searchsorted(pieces.bucket[pieces.order], np.arange(buckets + 1))
+            cuts, squeeze = np.searchsorted(pieces.bucket[pieces.order], np.arange(buckets + 1)), zstandard.ZstdCompressor(level=1)
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 some = pieces.order[cuts[k] : cuts[k + 1]]
                 content = [pieces.content[c] for c in some.tolist()]
-                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), pieces.part[some].astype(np.uint8).tobytes(), b"".join(content)))
+                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), pieces.part[some].astype(np.uint8).tobytes(), squeeze.compress(b"".join(content))))
         return pd.DataFrame(out, columns=["bucket", "batch", "owners", "sizes", "parts", "content"])
 
     return send
@@ -276,9 +276,9 @@ def _send(buckets: int):
 def _index(part: pd.DataFrame) -> pd.DataFrame:
     """Index the distinct pieces of a bucket, each part of it by itself, and answer every batch."""
     seen: dict[bytes, int] = {}
-    rows, owners, places = [], [], []
-    for held, sizes, where, content in zip(part["owners"], part["sizes"], part["parts"], part["content"], strict=True):
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+    rows, owners, places, expand = [], [], [], zstandard.ZstdDecompressor()
+    for held, sizes, where, packed in zip(part["owners"], part["sizes"], part["parts"], part["content"], strict=True):
+        content, ends = expand.decompress(packed), np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         rows.append(np.array([seen.setdefault(content[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
         owners.append(np.frombuffer(held, np.int64))
         places.append(np.frombuffer(where, np.uint8))
