@@ -18,6 +18,8 @@ from . import shared
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
 GRAMS = (4, 5)
+#: Features whose counts are added up in one task; the place after the last feature counts the rows.
+BLOCK = 1 << 12
 #: Words held by the tables of word features.
 CACHED = 200_000
 
@@ -73,10 +75,11 @@ def _texts(part: pd.DataFrame) -> Iterator[tuple[int, set[str]]]:
 
 
 def _frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, rows, known = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64), {}
+    """All counts of a task that are not zero, in blocks of features; the least count is only for their sums."""
+    counts, known = np.zeros((2, BUCKETS + 1), np.int32), {}
     for part in parts:
         for label, words in _texts(part):
-            found = set()
+            found = {BUCKETS}
             for w in words:
                 if (f := known.get(w)) is None:
                     f = word_features(w)
@@ -84,10 +87,18 @@ def _frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         known[w] = f
                 found |= f
             counts[label, np.fromiter(found, np.int64, len(found))] += 1
-            rows[label] += 1
-    if rows.sum():
-        at = np.flatnonzero(counts.sum(axis=0) >= 2).astype(np.int32)
-        yield pd.DataFrame({"n": [rows.tobytes()], "at": [at.tobytes()], "counts": [counts[:, at].tobytes()]})
+    at = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+    for of in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else ():
+        yield pd.DataFrame({"block": [int(of[0]) // BLOCK], "at": [of.tobytes()], "counts": [counts[:, of].tobytes()]})
+
+
+def _added(part: pd.DataFrame) -> pd.DataFrame:
+    first = int(part["block"].iloc[0]) * BLOCK
+    counts = np.zeros((2, BLOCK), np.int32)
+    for at, c in zip(part["at"], part["counts"], strict=True):
+        counts[:, np.frombuffer(at, np.int32) - first] += np.frombuffer(c, np.int32).reshape(2, -1)
+    at = np.flatnonzero(counts.any(axis=0))
+    return pd.DataFrame({"at": [(at + first).astype(np.int32).tobytes()], "counts": [counts[:, at].tobytes()]})
 
 
 def chosen(positive: np.ndarray, negative: np.ndarray, p: int, n: int, least_z: float, most: int) -> np.ndarray:
@@ -131,17 +142,17 @@ def train(labelled: DataFrame, groups: Sequence[Sequence[str]] = IDENTITIES, pen
     """Fit on ``labelled`` (``text``, ``toxic`` of 0 or 1), which is small: see ``sample``.
 
     Two passes count features by label and return each row's chosen features; the fit runs on the driver.
+    Counts are whole before any is left out, so the model does not depend on the number of partitions.
     Rows with identity terms also give their features with the terms swapped, and score changes between
     the two are penalised. Without rows of both labels the score is the smoothed share of label 1.
     """
     spark = labelled.sparkSession
     spread = labelled.select("toxic", "text").repartition(shared.partitions(spark), F.xxhash64("text"))
-    counted = spread.mapInPandas(_frequencies, "n binary, at binary, counts binary").collect()
-    rows, counts = np.zeros(2, np.int64), np.zeros((2, BUCKETS), np.int64)
-    for r in counted:  # a row for each task with rows; the sample is bounded
-        at = np.frombuffer(r["at"], np.int32)
-        rows += np.frombuffer(r["n"], np.int64)
-        counts[:, at] += np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+    counted = spread.mapInPandas(_frequencies, "block int, at binary, counts binary").groupBy("block").applyInPandas(_added, "at binary, counts binary").collect()
+    counts = np.zeros((2, BUCKETS + 1), np.int64)
+    for r in counted:  # a row for each block of features
+        counts[:, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+    rows, counts = counts[:, BUCKETS], counts[:, :BUCKETS]
     swap = swaps(groups)
     share = float(np.log((rows[1] + 0.5) / (rows[0] + 0.5)))
     if not rows.all():

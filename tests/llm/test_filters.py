@@ -92,6 +92,19 @@ def test_toxicity(spark, labelled):
     assert right >= 0.97 * len(held)
 
 
+def test_toxicity_model_does_not_depend_on_partitions(spark, labelled):
+    """200 tasks of a few rows each count a rare insult once; it is in the model as with 4."""
+    rare = [(i, f"{text} qwyxel" if toxic and i % 100 == 0 else text, toxic) for i, text, toxic in labelled]
+    rows, was, models = spark.createDataFrame([(t, x) for _, x, t in rare], "toxic int, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            models.append(toxicity.train(rows, least_z=1.5))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert models[0] == models[1] and zlib.crc32(b"^qwyxel$") % toxicity.BUCKETS in models[1].weights
+
+
 def test_counterfactual_penalty_evens_groups(spark):
     """Where insults do not explain all labels, the group's name would; the penalty takes that back."""
     rows = spark.createDataFrame([(t, x) for _, x, t in sentences(0.6)], "toxic int, text string")
