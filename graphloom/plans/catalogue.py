@@ -466,8 +466,8 @@ def border_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank, component and distance of every vertex of one graph."""
-    graph = _g40(spark, sf_dir)
+    """Rank, component and distance of every vertex of the graph of all links."""
+    graph = part_graph(spark, sf_dir, 1)
     rank = pagerank.pagerank(graph)
     parts = labels.connected_components(graph)
     hops = shortest_paths.sssp(graph, _source(graph))
