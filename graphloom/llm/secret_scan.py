@@ -24,6 +24,8 @@ _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 #: Candidate strings for the entropy test: long runs of the characters that keys are written in.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
+#: Characters of a candidate that may join it to a base span.
+GLUE = "+/_=-"
 #: Least entropy in bits per character of a window, by character class: (name, all of its characters, bits).
 CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.6), ("base64", re.compile(r"[A-Za-z0-9+/=]+"), 3.8), ("key", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9))
 #: Candidates that look random but are not secrets.
@@ -76,6 +78,24 @@ def suspicious(text: str) -> bool:
     return best_entropy(text) >= bits
 
 
+def _left(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of start to end that no base span covers; ``base`` is sorted."""
+    for a, b, _ in base:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def _unglued(stretch: str, left: bool, right: bool) -> str:
+    """What is judged of a stretch: without the marks that join it to a base span, unless too little is left."""
+    out = stretch.lstrip(GLUE) if left else stretch
+    out = out.rstrip(GLUE) if right else out
+    return out if len(out) >= WINDOW else stretch
+
+
 def spans(text: str, entropy: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then kind as listed in ``KINDS``."""
     out = []
@@ -88,8 +108,7 @@ def spans(text: str, entropy: bool = True) -> list[tuple[int, int, str]]:
     if entropy:
         base = sorted(out)
         for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in base) and suspicious(m[0]):
-                out.append((m.start(), m.end(), 3))
+            out += [(a, b, 3) for a, b in _left(m.start(), m.end(), base) if b - a >= WINDOW and suspicious(_unglued(text[a:b], a > m.start(), b < m.end()))]
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
@@ -112,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Secrets in every whole text: ``doc_id`` and ``found``, an array of (start, end, kind).
 
     The base kinds come from patterns. The method adds kind ``entropy``: strings of 20 or more key
-    characters, away from base spans, of which some window of 20 characters reaches the entropy asked of
+    characters, in what base spans leave of a run of them, of which some window of 20 characters reaches the entropy asked of
     the string's character class, and which the allow-list (words, numbers, UUIDs, paths, repeats) does
     not excuse. There is no shuffle. Null and empty texts have no spans; rows that repeat and rows with
     a null id each give a row; other columns are ignored; an empty table gives an empty one.

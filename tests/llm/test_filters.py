@@ -44,6 +44,19 @@ def test_secret_scan(spark, docs, texts):
     assert spans[1007] == "entropy:4:31" and not any("entropy" in spans[k] for k in (1008, 1009, 1011, 1012, 1013, 1014)) and spans[1010] == "" and spans[1000].startswith("assign:0:")
 
 
+def test_secret_glued_to_a_base_span():
+    """What a base span leaves of a candidate is scanned too, each stretch by its own class and allow-list."""
+    base, key, hexes, uuid = "d41d8cd98f00b204e9800998ecf8427e", "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0", "0fe1dc2ba3984756f0e1d2c3b4a596", "123e4567-e89b-12d3-a456-426614174000"
+    assert secret_scan.spans(f"{base}-{key}") == [(0, 32, "hex"), (32, 63, "entropy")]
+    assert secret_scan.spans(f"{key}/{base}/{key}") == [(0, 31, "entropy"), (31, 63, "hex"), (63, 94, "entropy")]
+    assert secret_scan.spans(f"{base}-{hexes}") == [(0, 32, "hex"), (32, 63, "entropy")]
+    assert secret_scan.spans(f"{key}=token=abcdefgh12") == [(0, 31, "entropy"), (31, 47, "assign")]
+    for rest in (uuid, "path/to/some/file_name_here2", "onlylettersofanylengthatall", "Zx9Qw3Er7Ty1"):
+        assert secret_scan.spans(f"{base}-{rest}") == [(0, 32, "hex")]
+    text = f"a {base}-{key} b"
+    assert key not in secret_scan.redacted(text, secret_scan.spans(text), "[secret]")
+
+
 def test_entropy_by_counts_is_entropy():
     rng = random.Random(4)
     for _ in range(200):
