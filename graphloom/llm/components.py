@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(``node``, ``label``) for every node of ``links`` (``a``, ``b``); the label is the least node of its component.
 
     Each round takes the least label among neighbours and then the label's own label, so labels travel
-    exponentially fast along chains. State is written to the shared folder every round.
+    exponentially fast along chains; the rounds end when no label changes. State is written to the shared folder every round.
     """
     both = shared.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = shared.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("parent"), F.col("label").alias("top"))
@@ -25,4 +25,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if new.where("old <> label").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
-    raise RuntimeError("labels did not settle")

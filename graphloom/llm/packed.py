@@ -66,6 +66,12 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return (((values >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
 
 
+def cut_by(ordered: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """The values of a sorted array and where each begins and ends, in steps of the array's length and not of the values' range."""
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[at], at.tolist(), [*at[1:].tolist(), len(ordered)] if len(at) else []
+
+
 def bucket_count(packed: DataFrame) -> int:
     size = packed.agg(F.sum("size")).first()[0] or 0
     return max(1, -(-size // BUCKET))
@@ -75,19 +81,19 @@ def shared_flags(packed: DataFrame, values: Values, buckets: int, hot: int = 1 <
     """For each batch and bucket, a bit for each of the batch's distinct values in ascending order.
 
     ``shared``: two documents or more have the value; ``hot``: ``hot`` documents or more. Values must be
-    spread evenly over 64 bits. Written once: it is about a bit a value.
+    spread evenly over 64 bits. Written once: it is about a bit a value. Only buckets that a batch has values for
+    get a row of it, so there are never more rows than values.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for row in part.to_pylist():
                 found, docs = distinct(*values(*opened(row["ids"], row["ends"], row["text"])))
-                cuts = np.searchsorted(bucket_of(found, buckets), np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cuts))
+                some, begin, end = cut_by(bucket_of(found, buckets))
                 counts = np.minimum(docs, 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(some, pa.int32()), "batch": pa.array([row["batch"]] * len(some), pa.int64()),
-                    "vals": pa.array([found[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), "docs": pa.array([counts[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                    "vals": pa.array([found[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()), "docs": pa.array([counts[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
                 })
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:

@@ -76,8 +76,8 @@ def shingles(text, n=4):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def linked_rows(texts):
-    sets = [shingles(t) for _, t in texts]
+def linked_rows(texts, n=4, percent=85):
+    sets = [shingles(t, n) for _, t in texts]
     label = list(range(len(texts)))
 
     def root(x):
@@ -88,7 +88,7 @@ def linked_rows(texts):
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 label[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(texts):
@@ -113,6 +113,30 @@ def test_jaccard_join_at_the_threshold(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == linked_rows(texts)
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    """A thousand copies of one text with changed words, from well over to well under 85 percent of each other, and some of a second text."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(160)]
+    texts = []
+    for k in range(1000):
+        copy = list(words) if k % 10 else [f"v{j}" for j in range(120)]
+        for at in rng.sample(range(len(copy)), k % 13):
+            copy[at] = rng.choice(["changed", f"x{rng.randrange(40)}", f"own{k}"])
+        texts.append((k, " ".join(copy[: rng.randint(100, 160)])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    expected = linked_rows(texts)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == expected
+    classes = Counter(c for _, _, c in expected)
+    assert max(classes.values()) > 100 and len(classes) > 100
+
+
+def test_jaccard_join_with_other_figures(spark, texts):
+    some = [x for x in texts if x[1] is None or len(x[1]) < 3000][:120]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, words=5, percent=80).collect())
+    assert found == linked_rows(some, 5, 80)
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).collect() == [] and jaccard_join.one_of_each(empty).collect() == []
 
