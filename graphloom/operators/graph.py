@@ -28,16 +28,20 @@ class Graph:
     modulus: int = LABELS
 
     @staticmethod
-    def from_edges(edges: DataFrame, isolated: DataFrame | None = None, modulus: int = LABELS) -> Graph:
-        """Vertices are the ends of edges, and ``isolated`` (``id``). Of repeated edges the least weight stays (1.0 without weights)."""
+    def from_edges(edges: DataFrame, isolated: DataFrame | None = None, modulus: int = LABELS, written: bool = False) -> Graph:
+        """Vertices are the ends of edges, and ``isolated`` (``id``). Of repeated edges the least weight stays (1.0 without weights).
+
+        ``written``: edges and vertices are computed once into the shared folder, the vertices from the edges there.
+        """
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), weight.alias("weight"))
         rows = rows.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+        rows = cut(rows) if written else rows
         ids = rows.select(F.explode(F.array("src", "dst")).alias("id"))
         if isolated is not None:
             ids = ids.union(isolated.select(F.col("id").cast("long")))
-        ids = ids.distinct()
-        return Graph(ids.select("id", label("id", modulus).alias("attr")), rows, modulus)
+        vertices = ids.distinct().select("id", label("id", modulus).alias("attr"))
+        return Graph(cut(vertices) if written else vertices, rows, modulus)
 
     def cut(self) -> Graph:
         """The same graph, computed once into the shared folder."""
@@ -60,6 +64,15 @@ class Graph:
     def node_count(self) -> int:
         return self.vertices.count()
 
+    # replicas that a partition adds to its part of the graph
+    def with_masters(self, masters: DataFrame) -> Graph:
+        """Adds the vertices of ``masters`` (``id``, and more), which this part owns."""
+        return self.with_vertices(masters)
+
+    def with_mirrors(self, mirrors: DataFrame) -> Graph:
+        """Adds the vertices of ``mirrors`` (``id``, ``master_part``, and more), which other parts own."""
+        return self.with_vertices(mirrors)
+
     # degrees and adjacency
     def out_degree(self) -> DataFrame:
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .recovery import cut
+from .recovery import ByKey, cut
 from .supersteps import Metrics, relax, settle
 
 
 def min_label(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
     """``id`` and ``label``: the least id that reaches the vertex along edges, itself included."""
-    edges = graph.edges.select("src", "dst")
     start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
-    return _spread(edges, start, metrics)
+    return _spread(graph.edges.select("src", "dst"), start, metrics)
 
 
 def min_label_continue(graph: Graph, state: DataFrame, messages: DataFrame, metrics: Metrics | None = None) -> DataFrame:
@@ -23,27 +22,36 @@ def min_label_continue(graph: Graph, state: DataFrame, messages: DataFrame, metr
 
 
 def _spread(edges: DataFrame, start: DataFrame, metrics: Metrics | None) -> DataFrame:
+    laid = ByKey(edges, "src")
+
     def step(state: DataFrame) -> DataFrame:
         frontier = state.where("changed").select(F.col("id").alias("src"), "label")
-        return relax(state, frontier.join(edges, "src").select(F.col("dst").alias("id"), "label"), "label")
+        return relax(state, laid.join(frontier).select(F.col("dst").alias("id"), "label"), "label")
 
-    return settle(start, step, metrics).select("id", "label")
+    out = settle(start, step, metrics).select("id", "label")
+    laid.release()
+    return out
 
 
 def connected_components(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
     """``id`` and ``label``: the least id of the component when edges are taken in both directions.
 
-    Each round takes the least label among neighbours and then that label's own label, so the rounds grow
-    with the logarithm of the longest path, not with the path.
+    Each round takes the least label among the neighbours that have changed and then that label's own label, so the
+    rounds grow with the logarithm of the longest path, not with the path. Labels are looked up once each, however many vertices have them.
     """
-    both = cut(graph.edges.select("src", "dst").union(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    edges = graph.edges.select("src", "dst")
+    laid = ByKey(cut(edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()), "src")
     start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
 
     def step(state: DataFrame) -> DataFrame:
-        near = state.select(F.col("id").alias("src"), "label").join(both, "src").select(F.col("dst").alias("id"), "label")
+        near = laid.join(state.where("changed").select(F.col("id").alias("src"), "label")).select(F.col("dst").alias("id"), "label")
         new = state.select("id", F.col("label").alias("old"), "label").union(near.select("id", F.lit(None).cast("long").alias("old"), "label"))
-        new = new.groupBy("id").agg(F.min("old").alias("old"), F.min("label").alias("label"))
-        tops = state.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        return new.join(tops, "label").select("id", F.least("label", "top").alias("label"), (F.least("label", "top") < F.col("old")).alias("changed"))
-
-    return settle(start, step, metrics).select("id", "label")
+        new = cut(new.groupBy("id").agg(F.min("old").alias("old"), F.min("label").alias("label")))
+        used = new.select("label").distinct()
+        tops = state.where("label < id").select(F.col("id").alias("label"), F.col("label").alias("top")).join(used, "label")
+        least = F.least("label", F.coalesce("top", "label"))
+        return new.join(tops, "label", "left").select("id", least.alias("label"), (least < F.col("old")).alias("changed"))
+
+    out = settle(start, step, metrics).select("id", "label")
+    laid.release()
+    return out

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .recovery import ByKey, cut
 from .supersteps import Metrics, relax, settle
 
 
 def _rounds(graph: Graph, state: DataFrame, metrics: Metrics | None, most: int | None = None) -> DataFrame:
-    edges = graph.edges.select("src", "dst", "weight")
+    edges = ByKey(graph.edges.select("src", "dst", "weight"), "src")
 
     def step(state: DataFrame) -> DataFrame:
         frontier = state.where("changed").select(F.col("id").alias("src"), "dist")
-        return relax(state, frontier.join(edges, "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist")), "dist")
+        found = edges.join(frontier).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"))
+        return relax(state, found if metrics is None else metrics.counting(found), "dist")
 
     if most is None:
-        return settle(state, step, metrics)
-    for _ in range(most):
-        state = step(state)
+        state = settle(state, step, metrics)
+    else:
+        for _ in range(most):
+            state = step(state)
+        state = cut(state)
+    edges.release()
     return state
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .recovery import ByKey, cut
 from .supersteps import Metrics, settle
 
 WORD = 62
@@ -35,7 +36,10 @@ class Pattern:
             raise ValueError(f"a pattern has at most {MOST} vertices")
         known = {r["u"]: r["attr"] for r in rows}
         out: dict[int, list[int]] = {u: [] for u in known}
-        for r in edges.select("u", "t").distinct().limit(MOST * MOST).collect():
+        found = edges.select("u", "t").distinct().limit(MOST * MOST + 1).collect()
+        if len(found) > MOST * MOST:
+            raise ValueError(f"a pattern has at most {MOST * MOST} edges")
+        for r in found:
             out.setdefault(r["u"], []).append(r["t"])
         return Pattern(known, {u: tuple(sorted(t)) for u, t in out.items()})
 
@@ -90,9 +94,9 @@ def successor_counts(graph: Graph, pattern: Pattern) -> DataFrame:
     return graph.edges.join(pairs, F.col("dst") == F.col("v")).groupBy(F.col("src").alias("id"), "u").agg(F.count(F.lit(1)).alias("cnt")).select(F.col("id").alias("v"), "u", "cnt")
 
 
-def _kept(state: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
+def _kept(state: DataFrame, edges: ByKey, pattern: Pattern) -> DataFrame:
     names = words(pattern)
-    seen = edges.join(state.select(F.col("id").alias("dst"), *names), "dst").groupBy(F.col("src").alias("id")).agg(*[F.bit_or(n).alias(f"h{n}") for n in names])
+    seen = edges.join(state.select(F.col("id").alias("dst"), *names)).groupBy(F.col("src").alias("id")).agg(*[F.bit_or(n).alias(f"h{n}") for n in names])
     both = state.select("id", *names).join(seen, "id", "left")
     out: list[Column] = [F.col("id")]
     for k, name in enumerate(names):
@@ -121,14 +125,46 @@ def _kept(state: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
 
 def refined(graph: Graph, pattern: Pattern, rounds: int = 1) -> DataFrame:
     """(u, v) after so many rounds of removal."""
-    state = _start(graph, pattern)
+    state, edges = _start(graph, pattern), ByKey(graph.edges.select("src", "dst"), "dst")
     for _ in range(rounds):
-        state = _kept(state, graph.edges, pattern)
+        state = cut(_kept(state, edges, pattern))
+    edges.release()
     return _pairs(state, pattern)
 
 
 def simulation(graph: Graph, pattern: Pattern, metrics: Metrics | None = None) -> DataFrame:
     """(u, v) of the largest simulation; pattern vertices without a match do not empty the others'."""
-    edges = graph.edges.select("src", "dst")
-    start = _start(graph, pattern).withColumn("changed", F.lit(True))
-    return _pairs(settle(start, lambda state: _kept(state, edges, pattern), metrics), pattern)
+    return simulation_continue(graph, pattern, _start(graph, pattern), metrics)
+
+
+def simulation_continue(graph: Graph, pattern: Pattern, state: DataFrame, metrics: Metrics | None = None) -> DataFrame:
+    """Go on from a ``state`` (see ``held``), from which pairs may only be taken away, to the fixpoint."""
+    edges = ByKey(graph.edges.select("src", "dst"), "dst")
+    out = settle(state.withColumn("changed", F.lit(True)), lambda s: _kept(s, edges, pattern), metrics)
+    edges.release()
+    return _pairs(out, pattern)
+
+
+def held(pairs: DataFrame, pattern: Pattern) -> DataFrame:
+    """A state from rows (u, v), as ``_pairs`` gives them."""
+    out: list[Column] = []
+    for k, name in enumerate(words(pattern)):
+        bit = F.lit(0).cast("long")
+        for u in pattern.order:
+            w, b = pattern.place(u)
+            if w == k:
+                bit = F.when(F.col("u") == u, F.lit(1 << b).cast("long")).otherwise(bit)
+        out.append(F.bit_or(bit).alias(name))
+    return pairs.groupBy(F.col("v").alias("id")).agg(*out)
+
+
+def count_changes(graph: Graph, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(v, u, change): by how much the number of targets of v that hold u moves between two relations (u, v).
+
+    Each pair that went counts -1 and each that came +1 at every source of an edge into it; changes are added up
+    and those that cancel are left out.
+    """
+    went = before.select("u", "v").subtract(after.select("u", "v")).withColumn("sign", F.lit(-1))
+    came = after.select("u", "v").subtract(before.select("u", "v")).withColumn("sign", F.lit(1))
+    moved = graph.edges.join(went.union(came), F.col("dst") == F.col("v")).groupBy(F.col("src").alias("s"), "u").agg(F.sum("sign").alias("change"))
+    return moved.where("change <> 0").select(F.col("s").alias("v"), "u", "change")

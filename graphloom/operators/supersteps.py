@@ -2,8 +2,8 @@
 
 A round is one join of the frontier with the edges and one grouped aggregate over the state and the
 candidates together, so the state is shuffled once and candidates are combined before they travel. The
-new state carries a flag for what changed, is cut into the shared folder, and one small aggregate over it
-both ends the loop and gives the metrics.
+new state carries a flag for what changed and is cut into the shared folder; the counts that end the loop and
+give the metrics are observed by the same job.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .recovery import cut
@@ -20,33 +20,51 @@ from .recovery import cut
 
 @dataclass
 class Metrics:
-    """A row for each round: state rows, changed rows, seconds."""
+    """A row for each round: state rows, changed rows, edges that these relax in the next round, seconds."""
 
-    rows: list[tuple[int, int, int, float]] = field(default_factory=list)
+    rows: list[tuple[int, int, int, int | None, float]] = field(default_factory=list)
+    relaxing: Observation | None = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "superstep int, n_state long, n_changed long, seconds double")
+        return spark.createDataFrame(self.rows, "superstep int, n_state long, n_changed long, n_relaxed long, seconds double")
+
+    def counting(self, candidates: DataFrame) -> DataFrame:
+        """``candidates``, a row for each edge that a round relaxes, counted as they are used."""
+        self.relaxing = Observation()
+        return candidates.observe(self.relaxing, F.count(F.lit(1)).alias("n"))
+
+    def add(self, n: int, changed: int, seconds: float) -> None:
+        if self.relaxing is not None and self.rows:  # what the round before set out to relax
+            self.rows[-1] = (*self.rows[-1][:3], self.relaxing.get["n"], self.rows[-1][4])
+        self.relaxing = None
+        self.rows.append((len(self.rows), n, changed, 0 if not changed else None, seconds))
+
+    def teps(self) -> float:
+        """Relaxed edges by seconds of all rounds, over the rounds that are counted."""
+        return sum(r[3] or 0 for r in self.rows) / max(sum(r[4] for r in self.rows), 1e-9)
 
     @property
     def supersteps(self) -> int:
         return len(self.rows)
 
 
-def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], metrics: Metrics | None = None, most: int = 100_000) -> DataFrame:
+def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], metrics: Metrics | None = None, most: int = 100_000, also: Column | None = None, values: list | None = None) -> DataFrame:
     """Run ``step`` on the state (which has a boolean ``changed``) until nothing changes; the state as it is then.
 
-    ``step`` gets the whole state and returns the next one.
+    ``step`` gets the whole state and returns the next one. ``values`` gets the aggregate ``also`` of each state.
     """
     metrics = metrics if metrics is not None else Metrics()
-    began = time.time()
-    state = cut(state)
-    for k in range(most):
-        n, changed = state.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0))).first()
-        metrics.rows.append((k, n, changed, time.time() - began))
-        if not changed:
+    for _ in range(most):
+        began, seen = time.time(), Observation()
+        extra = [] if also is None else [also.alias("also")]
+        state = cut(state.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.col("changed").cast("long")).alias("changed"), *extra))
+        found = seen.get
+        metrics.add(found["n"], found["changed"] or 0, time.time() - began)
+        if values is not None:
+            values.append(found["also"])
+        if not found["changed"]:
             return state
-        began = time.time()
-        state = cut(step(state))
+        state = step(state)
     raise RuntimeError(f"no fixpoint in {most} rounds")
 
 

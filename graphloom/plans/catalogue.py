@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sets
+from ..functions.formats import exponent
 from ..operators import labels, local_fixpoint, pagerank, partitioning, shortest_paths, simulation
 from ..operators.graph import Graph
-from ..operators.recovery import cut
+from ..operators.recovery import cut, shared_dir
 from ..operators.supersteps import Metrics
 from ..sources import text, writers
-from ..sources.derived import part_graph, part_links, table
+from ..sources.derived import order_links, part_graph, part_links, table
 
 K = 4  # partitions in the partitioning queries
 # The sample pattern, ``u attr k t1 ... tk`` on each line.
@@ -36,13 +38,17 @@ def query(sql: str | None = None):
     return add
 
 
-def _links(least: int) -> str:
-    return f"""SELECT DISTINCT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b FROM lineitem WHERE l_quantity >= {least}) WHERE b IS NOT NULL AND a <> b"""
+_LINKS = """SELECT DISTINCT a AS src, b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b"""
+_BY_CUSTOMER = "SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders"
+_BY_DAY = "SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS b FROM orders"
+_CHAINS = f"SELECT a AS src, b AS dst FROM ({_BY_CUSTOMER}) WHERE b IS NOT NULL"
+_DAYS = f"SELECT a AS src, b AS dst FROM ({_BY_DAY}) WHERE b IS NOT NULL"
+_ORDERS = f"SELECT DISTINCT a AS src, b AS dst FROM ({_BY_CUSTOMER} UNION ALL {_BY_DAY}) WHERE b IS NOT NULL"
 
 
-def _with(least: int, *more: str, recursive: bool = False) -> str:
-    head = f"WITH {'RECURSIVE ' if recursive else ''}e AS MATERIALIZED ({_links(least)}), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+def _with(*more: str, recursive: bool = False, links: str = _LINKS) -> str:
+    head = f"WITH {'RECURSIVE ' if recursive else ''}e AS MATERIALIZED ({links}), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"
     return ", ".join([head, *more]) + " "
 
 
@@ -51,16 +57,27 @@ _REPLICAS = "r AS (SELECT part, id, min(part) OVER (PARTITION BY id) AS master_p
 _OWNED = f"o AS (SELECT src, dst, CAST(src % {K} AS INTEGER) AS sp, CAST(dst % {K} AS INTEGER) AS dp FROM e)"
 
 
-def _g40(spark: SparkSession, sf_dir: str) -> Graph:
-    return part_graph(spark, sf_dir, 40)
+def _parts(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts linked as they follow each other in orders: all of lineitem."""
+    return part_graph(spark, sf_dir)
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders linked to the customer's next one: a path for each customer."""
+    return Graph.from_edges(order_links(table(spark, sf_dir, "orders"), ("o_custkey",)), written=True)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders linked to the customer's next and to the day's next: without cycles, with long paths."""
+    return Graph.from_edges(order_links(table(spark, sf_dir, "orders")), written=True)
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioning.placed_edges(_g40(spark, sf_dir), K)
+    return partitioning.placed_edges(_parts(spark, sf_dir), K)
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioning.owned_by_id(_g40(spark, sf_dir), K)
+    return partitioning.owned_by_id(_parts(spark, sf_dir), K)
 
 
 def _source(graph: Graph) -> int:
@@ -73,14 +90,14 @@ def _pattern(spark: SparkSession) -> simulation.Pattern:
 
 
 # the graph and its parts
-@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e")
+@query(_with() + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e")
 def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).edges
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"))).edges
 
 
-@query(_with(40) + "SELECT id FROM v")
+@query(_with() + "SELECT id FROM v")
 def vertex_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).vertices.select("id")
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"))).vertices.select("id")
 
 
 @query("SELECT l_partkey AS src, l_suppkey AS dst, min(l_quantity) AS weight FROM lineitem GROUP BY ALL")
@@ -88,119 +105,119 @@ def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph.from_edges(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))).edges
 
 
-@query(_with(40) + "SELECT id, id % 100 AS attr FROM v")
+@query(_with() + "SELECT id, id % 100 AS attr FROM v")
 def vertex_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 40)).vertices
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"))).vertices
 
 
-@query(_with(40) + "SELECT id % 100 AS attr, count(*) AS n FROM v GROUP BY ALL")
+@query(_with() + "SELECT id % 100 AS attr, count(*) AS n FROM v GROUP BY ALL")
 def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertex_labels(spark, sf_dir).groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_with(1) + "SELECT src AS id, count(*) AS out_degree FROM e GROUP BY src")
+@query(_with() + "SELECT src AS id, count(*) AS out_degree FROM e GROUP BY src")
 def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 1)).out_degree()
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"))).out_degree()
 
 
-@query(_with(1) + "SELECT dst AS id, count(*) AS in_degree FROM e GROUP BY dst")
+@query(_with() + "SELECT dst AS id, count(*) AS in_degree FROM e GROUP BY dst")
 def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 1)).in_degree()
+    return Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"))).in_degree()
 
 
-@query(_with(40) + "SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS targets FROM e GROUP BY src")
+@query(_with() + "SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS targets FROM e GROUP BY src")
 def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g40(spark, sf_dir).adjacency().select("id", F.array_join(F.transform("targets", lambda x: x.cast("string")), " ").alias("targets"))
+    return _parts(spark, sf_dir).adjacency().select("id", F.array_join(F.transform("targets", lambda x: x.cast("string")), " ").alias("targets"))
 
 
-@query(_with(40) + "SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
+@query(_with(links=_ORDERS) + "SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
 def no_in_edge_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g40(spark, sf_dir).without_in_edges().select("id")
+    return _orders(spark, sf_dir).without_in_edges().select("id")
 
 
-@query(_with(40) + "SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
+@query(_with(links=_ORDERS) + "SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
 def dangling_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g40(spark, sf_dir).without_out_edges().select("id")
+    return _orders(spark, sf_dir).without_out_edges().select("id")
 
 
-@query(_with(45) + "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM v)")
+@query(_with(links=_DAYS) + "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM v)")
 def isolated_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = Graph.from_edges(part_links(table(spark, sf_dir, "lineitem"), 45), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
-    return graph.isolated().select("id")
+    orders = table(spark, sf_dir, "orders")
+    return Graph.from_edges(order_links(orders, ("o_orderdate",)), orders.select(F.col("o_orderkey").alias("id"))).isolated().select("id")
 
 
-@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src = (SELECT min(src) FROM e) AND dst = (SELECT min(dst) FROM e WHERE src = (SELECT min(src) FROM e))")
+@query(_with() + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src = (SELECT min(src) FROM e) AND dst = (SELECT min(dst) FROM e WHERE src = (SELECT min(src) FROM e))")
 def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _g40(spark, sf_dir)
+    graph = _parts(spark, sf_dir)
     src = _source(graph)
     dst = graph.edges.where(F.col("src") == src).agg(F.coalesce(F.min("dst"), F.lit(-1))).first()[0]
     return graph.edge(src, dst)
 
 
-@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e UNION SELECT dst, src, 1.0::DOUBLE FROM e")
+@query(_with() + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e UNION SELECT dst, src, 1.0::DOUBLE FROM e")
 def symmetrised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g40(spark, sf_dir).symmetrised().edges
+    return _parts(spark, sf_dir).symmetrised().edges
 
 
-@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0")
+@query(_with() + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0")
 def graph_delete_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _g40(spark, sf_dir)
+    graph = _parts(spark, sf_dir)
     return graph.without_vertices(graph.vertices.where("id % 7 = 0").select("id")).edges
 
 
-@query(_with(40) + "SELECT src, dst, CASE WHEN src % 5 = 0 THEN 9.0 ELSE 1.0 END::DOUBLE AS weight FROM e UNION SELECT id, id + 1000000, 2.0::DOUBLE FROM v WHERE id % 50 = 0")
+@query(_with() + "SELECT src, dst, CASE WHEN src % 5 = 0 THEN 9.0 ELSE 1.0 END::DOUBLE AS weight FROM e UNION SELECT id, id + 1000000, 2.0::DOUBLE FROM v WHERE id % 50 = 0")
 def graph_upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _g40(spark, sf_dir)
+    graph = _parts(spark, sf_dir)
     changed = graph.edges.where("src % 5 = 0").select("src", "dst", F.lit(9.0).alias("weight"))
     new = graph.vertices.where("id % 50 = 0").select(F.col("id").alias("src"), (F.col("id") + 1000000).alias("dst"), F.lit(2.0).alias("weight"))
     return graph.with_edges(changed.union(new)).edges
 
 
 # partitions, replicas, borders, messages
-@query(_with(40, _PLACED) + "SELECT src, dst, part FROM p")
+@query(_with(_PLACED) + "SELECT src, dst, part FROM p")
 def edge_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir).select("src", "dst", "part")
 
 
-@query(_with(40, _PLACED) + "SELECT part, count(*) AS n_edges FROM p GROUP BY part")
+@query(_with(_PLACED) + "SELECT part, count(*) AS n_edges FROM p GROUP BY part")
 def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.partition_sizes(_placed(spark, sf_dir))
 
 
-@query(_with(40, _PLACED, _REPLICAS) + "SELECT master_part AS part, id, coalesce(string_agg(part::VARCHAR, ' ' ORDER BY part) FILTER (part <> master_part), '') AS mirror_parts FROM r GROUP BY ALL")
+@query(_with(_PLACED, _REPLICAS) + "SELECT master_part AS part, id, coalesce(string_agg(part::VARCHAR, ' ' ORDER BY part) FILTER (part <> master_part), '') AS mirror_parts FROM r GROUP BY ALL")
 def vertex_cut_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.masters(_placed(spark, sf_dir)).select("part", "id", F.array_join(F.transform("mirror_parts", lambda p: p.cast("string")), " ").alias("mirror_parts"))
 
 
-@query(_with(40, _PLACED, _REPLICAS) + "SELECT part, id, master_part FROM r WHERE part <> master_part")
+@query(_with(_PLACED, _REPLICAS) + "SELECT part, id, master_part FROM r WHERE part <> master_part")
 def vertex_cut_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.mirrors(_placed(spark, sf_dir))
 
 
-@query(_with(40, _PLACED, _REPLICAS) + "SELECT count(DISTINCT id) AS n_vertices, count(*) AS n_replicas, count(*) / count(DISTINCT id)::DOUBLE AS factor FROM r")
+@query(_with(_PLACED, _REPLICAS) + "SELECT count(DISTINCT id) AS n_vertices, count(*) AS n_replicas, count(*) / count(DISTINCT id)::DOUBLE AS factor FROM r")
 def replication_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.replication_factor(_placed(spark, sf_dir))
 
 
-@query(_with(40, _OWNED) + "SELECT sp AS part, src, dst, 1.0::DOUBLE AS weight FROM o WHERE sp = dp")
+@query(_with(_OWNED) + "SELECT sp AS part, src, dst, 1.0::DOUBLE AS weight FROM o WHERE sp = dp")
 def edge_cut_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.inner_edges(_owned(spark, sf_dir))
 
 
-@query(_with(40, _OWNED) + "SELECT dp AS part, dst AS own, src AS \"outer\", 1.0::DOUBLE AS weight, sp AS other_part FROM o WHERE sp <> dp")
+@query(_with(_OWNED) + "SELECT dp AS part, dst AS own, src AS \"outer\", 1.0::DOUBLE AS weight, sp AS other_part FROM o WHERE sp <> dp")
 def border_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.border_in(_owned(spark, sf_dir))
 
 
-@query(_with(40, _OWNED) + "SELECT sp AS part, dst AS \"outer\", src AS own, 1.0::DOUBLE AS weight, dp AS other_part FROM o WHERE sp <> dp")
+@query(_with(_OWNED) + "SELECT sp AS part, dst AS \"outer\", src AS own, 1.0::DOUBLE AS weight, dp AS other_part FROM o WHERE sp <> dp")
 def border_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.border_out(_owned(spark, sf_dir))
 
 
-@query(_with(40) + "SELECT src, dst, 1.0::DOUBLE AS weight, CAST(n1.o_orderkey % 4 AS INTEGER) AS src_part, CAST(n2.o_orderkey % 4 AS INTEGER) AS dst_part FROM e JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n1 ON n1.o_custkey = src JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n2 ON n2.o_custkey = dst")
+@query(_with() + "SELECT src, dst, 1.0::DOUBLE AS weight, CAST(n1.o_orderkey % 4 AS INTEGER) AS src_part, CAST(n2.o_orderkey % 4 AS INTEGER) AS dst_part FROM e JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n1 ON n1.o_custkey = src JOIN (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey) n2 ON n2.o_custkey = dst")
 def edge_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg((F.min("o_orderkey") % 4).cast("int").alias("part"))
-    return partitioning.with_owners(_g40(spark, sf_dir).edges, parts)
+    return partitioning.with_owners(_parts(spark, sf_dir).edges, parts)
 
 
 _CHANGED = "c AS (SELECT part, id, id % 10 AS val FROM r WHERE id % 3 = 0)"
@@ -210,63 +227,63 @@ def _changed(replicas: DataFrame) -> DataFrame:
     return replicas.where("id % 3 = 0").select("part", "id", (F.col("id") % 10).alias("val"))
 
 
-@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, id, val FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part")
+@query(_with(_PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, id, val FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part")
 def route_mirror_to_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = cut(_placed(spark, sf_dir))
     return partitioning.to_master(_changed(partitioning.replicas(placed)), partitioning.mirrors(placed))
 
 
-@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT m.part AS dst_part, id, val FROM c JOIN r USING (part, id) JOIN r m USING (id) WHERE r.part = r.master_part AND m.part <> m.master_part")
+@query(_with(_PLACED, _REPLICAS, _CHANGED) + "SELECT m.part AS dst_part, id, val FROM c JOIN r USING (part, id) JOIN r m USING (id) WHERE r.part = r.master_part AND m.part <> m.master_part")
 def route_master_to_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = cut(_placed(spark, sf_dir))
     return partitioning.to_mirrors(_changed(partitioning.replicas(placed)), partitioning.masters(placed))
 
 
-@query(_with(40, _PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, count(*) AS n_messages FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part GROUP BY ALL")
+@query(_with(_PLACED, _REPLICAS, _CHANGED) + "SELECT r.master_part AS dst_part, count(*) AS n_messages FROM c JOIN r USING (part, id) WHERE r.part <> r.master_part GROUP BY ALL")
 def message_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.message_sizes(route_mirror_to_master(spark, sf_dir))
 
 
 # shortest paths
 _HOPS = "s(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT dst, d + 1 FROM s JOIN e ON src = id WHERE d < {most})"
-_WEIGHTED = "s(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT dst, d + 1 + (src * 7 + dst * 13) % 10 FROM s JOIN e ON src = id WHERE d < 110)"
+_WEIGHTED = "s(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT dst, d + 1 + (src * 7 + dst * 13) % 10 FROM s JOIN e ON src = id WHERE d < 60)"
 _DISTANCES = "SELECT id, min(d)::DOUBLE AS dist FROM s GROUP BY id"
 
 
-@query(_with(40, _HOPS.format(most=40), recursive=True) + _DISTANCES)
+@query(_with(_HOPS.format(most=40), recursive=True) + _DISTANCES)
 def sssp_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _g40(spark, sf_dir)
+    graph = _parts(spark, sf_dir)
     return shortest_paths.sssp(graph, _source(graph))
 
 
-@query(_with(40, _WEIGHTED, recursive=True) + _DISTANCES)
+@query(_with(_WEIGHTED, recursive=True) + _DISTANCES)
 def sssp_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = part_graph(spark, sf_dir, 40, weighted=True)
+    graph = part_graph(spark, sf_dir, weighted=True)
     return shortest_paths.sssp(graph, _source(graph))
 
 
-@query(_with(40, _WEIGHTED, recursive=True) + _DISTANCES)
+@query(_with(_WEIGHTED, recursive=True) + _DISTANCES)
 def sssp_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = part_graph(spark, sf_dir, 40, weighted=True)
+    graph = part_graph(spark, sf_dir, weighted=True)
     return local_fixpoint.sssp_by_parts(graph, _source(graph), K)
 
 
-@query(_with(40, _HOPS.format(most=3), recursive=True) + _DISTANCES)
+@query(_with(_HOPS.format(most=2), recursive=True) + _DISTANCES)
 def sssp_round_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _g40(spark, sf_dir)
-    return shortest_paths.sssp_rounds(graph, _source(graph), 3)
+    graph = _parts(spark, sf_dir)
+    return shortest_paths.sssp_rounds(graph, _source(graph), 2)
 
 
 @query("SELECT l_partkey AS id, 0.0::DOUBLE AS dist FROM lineitem WHERE l_partkey < 0")
 def sssp_missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shortest_paths.sssp(_g40(spark, sf_dir), -1)
+    return shortest_paths.sssp(_parts(spark, sf_dir), -1)
 
 
-@query(_with(40, _HOPS.format(most=40), recursive=True) + _DISTANCES)
+@query(_with(_HOPS.format(most=40), recursive=True) + _DISTANCES)
 def sssp_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds first, then the rest from the border's messages."""
-    graph = _g40(spark, sf_dir)
-    state = cut(shortest_paths.sssp_rounds(graph, _source(graph), 3))
+    """Two rounds first, then the rest from the border's messages."""
+    graph = _parts(spark, sf_dir)
+    state = shortest_paths.sssp_rounds(graph, _source(graph), 2)
     messages = state.join(graph.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"))
     return shortest_paths.sssp_continue(graph, state, messages)
 
@@ -276,22 +293,31 @@ _MIN_LABEL = """r(id, label) USING KEY (id) AS (SELECT id, id FROM v UNION SELEC
         WHERE r.label < c.label GROUP BY x.dst)"""
 
 
-@query(_with(40, _MIN_LABEL.format(edges="e"), recursive=True) + "SELECT id, label FROM r")
+@query(_with(_MIN_LABEL.format(edges="e"), recursive=True, links=_ORDERS) + "SELECT id, label FROM r")
 def min_label_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.min_label(_g40(spark, sf_dir))
+    return labels.min_label(_orders(spark, sf_dir))
+
+
+@query(_with(_MIN_LABEL.format(edges="e"), recursive=True, links=_ORDERS) + "SELECT id, label FROM r")
+def min_label_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' paths first; then the links of days arrive, with the labels that they carry."""
+    graph, paths = _orders(spark, sf_dir), _chains(spark, sf_dir)
+    state = labels.min_label(Graph(graph.vertices, paths.edges))
+    messages = graph.edges.join(state, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label")
+    return labels.min_label_continue(graph, state, messages)
 
 
 _BOTH = "b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
-@query(_with(45, _BOTH, _MIN_LABEL.format(edges="b"), recursive=True) + "SELECT id, label FROM r")
+@query(_with(_BOTH, _MIN_LABEL.format(edges="b"), recursive=True, links=_CHAINS) + "SELECT id, label FROM r")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.connected_components(part_graph(spark, sf_dir, 45))
+    return labels.connected_components(_chains(spark, sf_dir))
 
 
-@query(_with(45, _BOTH, _MIN_LABEL.format(edges="b"), recursive=True) + "SELECT label, count(*) AS n FROM r GROUP BY label")
+@query(_with(_BOTH, _MIN_LABEL.format(edges="b"), recursive=True, links=_CHAINS) + "SELECT label, count(*) AS n FROM r GROUP BY label")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.connected_components(part_graph(spark, sf_dir, 45)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return connected_components(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # rank
@@ -304,34 +330,34 @@ _RANKS = """g AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src)
 
 
 def _ranks(most: int) -> str:
-    return _with(40, _RANKS.format(most=most), recursive=True)
+    return _with(_RANKS.format(most=most), recursive=True)
 
 
-@query(_with(40) + "SELECT id, 1.0::DOUBLE AS pr, round(s, 6) AS diff FROM v LEFT JOIN (SELECT dst, sum(1.0::DOUBLE / deg) AS s FROM (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e) GROUP BY dst) ON dst = id")
+@query(_with() + "SELECT id, 1.0::DOUBLE AS pr, s AS diff FROM v LEFT JOIN (SELECT dst, sum(1.0::DOUBLE / deg) AS s FROM (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e) GROUP BY dst) ON dst = id")
 def pagerank_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank.initial(_g40(spark, sf_dir)).select("id", "pr", F.round("diff", 6).alias("diff"))
+    return pagerank.initial(_parts(spark, sf_dir)).select("id", "pr", "diff")
 
 
-@query(_ranks(200) + "SELECT id, round(pr, 6) AS pr FROM st WHERE it = (SELECT max(it) FROM st)")
+@query(_ranks(200) + "SELECT id, pr FROM st WHERE it = (SELECT max(it) FROM st)")
 def pagerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank.pagerank(_g40(spark, sf_dir)).select("id", F.round("pr", 6).alias("pr"))
+    return pagerank.pagerank(_parts(spark, sf_dir))
 
 
-@query(_ranks(3) + "SELECT id, round(pr, 6) AS pr, round(acc, 6) AS acc, round(d, 6) AS diff FROM st WHERE it = 3")
+@query(_ranks(3) + "SELECT id, pr, acc, d AS diff FROM st WHERE it = 3")
 def pagerank_fixed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank.pagerank_rounds(_g40(spark, sf_dir), 3).select("id", F.round("pr", 6).alias("pr"), F.round("acc", 6).alias("acc"), F.round("diff", 6).alias("diff"))
+    return pagerank.pagerank_rounds(_parts(spark, sf_dir), 3).select("id", "pr", "acc", "diff")
 
 
-@query(_ranks(200) + "SELECT id, round(pr, 6) AS pr FROM st WHERE it = (SELECT max(it) FROM st) ORDER BY round(pr, 6) DESC, id LIMIT 20")
+@query(_ranks(200) + "SELECT id, pr FROM st WHERE it = (SELECT max(it) FROM st) ORDER BY pr DESC, id LIMIT 20")
 def pagerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank_delta(spark, sf_dir).orderBy(F.desc("pr"), "id").limit(20)
 
 
-@query(_ranks(200) + "SELECT CAST(it AS INTEGER) AS round, round(max(err), 6) AS max_error FROM st WHERE it > 0 GROUP BY it")
+@query(_ranks(200) + "SELECT CAST(it AS INTEGER) AS round, max(err) AS max_error FROM st WHERE it > 0 GROUP BY it")
 def pagerank_max_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors: list[float] = []
-    pagerank.pagerank(_g40(spark, sf_dir), errors=errors)
-    return spark.createDataFrame([(k + 1, e) for k, e in enumerate(errors)], "round int, max_error double").select("round", F.round("max_error", 6).alias("max_error"))
+    pagerank.pagerank(_parts(spark, sf_dir), errors=errors)
+    return spark.createDataFrame([(k + 1, e) for k, e in enumerate(errors)], "round int, max_error double")
 
 
 # simulation, with labels modulo 8
@@ -344,66 +370,85 @@ _REFINED = """st(it, u, v) AS (SELECT 0, u, v FROM c UNION ALL SELECT s.it + 1,
 
 
 def _sim(spark: SparkSession, sf_dir: str) -> tuple[Graph, simulation.Pattern]:
-    return part_graph(spark, sf_dir, 1, modulus=8), _pattern(spark)
+    return part_graph(spark, sf_dir, modulus=8), _pattern(spark)
 
 
-@query(_with(1, _SIM) + "SELECT u::BIGINT AS u, v FROM c")
+@query(_with(_SIM) + "SELECT u::BIGINT AS u, v FROM c")
 def sim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.candidates(*_sim(spark, sf_dir))
 
 
-@query(_with(1, _SIM) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 8 IN (SELECT attr FROM pv) AND dst % 8 IN (SELECT attr FROM pv)")
+@query(_with(_SIM) + "SELECT src, dst, 1.0::DOUBLE AS weight FROM e WHERE src % 8 IN (SELECT attr FROM pv) AND dst % 8 IN (SELECT attr FROM pv)")
 def sim_label_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, pattern = _sim(spark, sf_dir)
     return graph.only_labels(pattern.frames(spark)[0]).edges
 
 
-@query(_with(1, _SIM) + "SELECT src AS v, u::BIGINT AS u, count(*) AS cnt FROM e JOIN c ON c.v = e.dst GROUP BY ALL")
+@query(_with(_SIM) + "SELECT src AS v, u::BIGINT AS u, count(*) AS cnt FROM e JOIN c ON c.v = e.dst GROUP BY ALL")
 def sim_successor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.successor_counts(*_sim(spark, sf_dir))
 
 
-@query(_with(1, _SIM, _REFINED.format(most=1), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 1")
+@query(_with(_SIM, _REFINED.format(most=1), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 1")
 def sim_refine_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.refined(*_sim(spark, sf_dir))
 
 
-@query(_with(1, _SIM, _REFINED.format(most=12), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 12")
+@query(_with(_SIM, _REFINED.format(most=12), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 12")
 def graph_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulation(*_sim(spark, sf_dir))
 
 
+_FEWER = "w AS MATERIALIZED (SELECT * FROM e WHERE (src + dst) % 3 <> 0)"
+
+
+@query(_with(_FEWER, _SIM, _REFINED.format(most=12).replace("JOIN e ON e.src", "JOIN w AS e ON e.src"), recursive=True) + "SELECT u::BIGINT AS u, v FROM st WHERE it = 12")
+def sim_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simulation over all links; then a third of the links goes, and pairs are taken away from there."""
+    graph, pattern = _sim(spark, sf_dir)
+    before = simulation.simulation(graph, pattern)
+    fewer = Graph(graph.vertices, graph.edges.where("(src + dst) % 3 <> 0"), graph.modulus)
+    return simulation.simulation_continue(fewer, pattern, simulation.held(before, pattern))
+
+
+@query(_with(_SIM, _REFINED.format(most=1), recursive=True) + """SELECT src AS v, u::BIGINT AS u, CAST(-count(*) AS BIGINT) AS change FROM e
+    JOIN (SELECT u, v FROM c EXCEPT SELECT u, v FROM st WHERE it = 1) g ON g.v = e.dst GROUP BY ALL""")
+def sim_count_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, pattern = _sim(spark, sf_dir)
+    return simulation.count_changes(graph, simulation.candidates(graph, pattern), simulation.refined(graph, pattern))
+
+
 # rounds, sets, formats
-@query(_with(40, _HOPS.format(most=40), "f AS (SELECT id, min(d) AS d FROM s GROUP BY id)", recursive=True) + "SELECT CAST(d AS INTEGER) AS superstep, count(*) AS n_changed, CAST(sum(count(*)) OVER (ORDER BY d) AS BIGINT) AS n_state FROM f GROUP BY d")
+@query(_with(_HOPS.format(most=200), "f AS (SELECT id, min(d) AS d FROM s GROUP BY id)", recursive=True, links=_ORDERS) + "SELECT CAST(d AS INTEGER) AS superstep, count(*) AS n_changed, CAST(sum(count(*)) OVER (ORDER BY d) AS BIGINT) AS n_state, CAST(sum((SELECT count(*) FROM e WHERE src = id)) AS BIGINT) AS n_relaxed FROM f GROUP BY d")
 def superstep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, metrics = _g40(spark, sf_dir), Metrics()
+    graph, metrics = _orders(spark, sf_dir), Metrics()
     shortest_paths.sssp(graph, _source(graph), metrics)
-    return metrics.frame(spark).where("n_changed > 0").select("superstep", "n_changed", "n_state")
+    return metrics.frame(spark).where("n_changed > 0").select("superstep", "n_changed", "n_state", "n_relaxed")
 
 
 def _frontiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = _g40(spark, sf_dir).vertices
+    v = _parts(spark, sf_dir).vertices
     return v.where("id % 2 = 0").select("id"), v.where("id % 3 = 0").select("id")
 
 
-@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 UNION SELECT id FROM v WHERE id % 3 = 0")
+@query(_with() + "SELECT id FROM v WHERE id % 2 = 0 UNION SELECT id FROM v WHERE id % 3 = 0")
 def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.union(*_frontiers(spark, sf_dir))
 
 
-@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 INTERSECT SELECT id FROM v WHERE id % 3 = 0")
+@query(_with() + "SELECT id FROM v WHERE id % 2 = 0 INTERSECT SELECT id FROM v WHERE id % 3 = 0")
 def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.intersection(*_frontiers(spark, sf_dir))
 
 
-@query(_with(40) + "SELECT id FROM v WHERE id % 2 = 0 EXCEPT SELECT id FROM v WHERE id % 3 = 0")
+@query(_with() + "SELECT id FROM v WHERE id % 2 = 0 EXCEPT SELECT id FROM v WHERE id % 3 = 0")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.difference(*_frontiers(spark, sf_dir))
 
 
-@query(_with(40, "a AS (SELECT src, list(dst) AS l FROM e GROUP BY src)") + "SELECT src AS id, list_contains(l, src + 1) AS has_next, len(list_filter(l, lambda x: x <> src + 1)) AS n_others, list_has_any(l, [1, 2, 3]) AS meets FROM a")
+@query(_with("a AS (SELECT src, list(dst) AS l FROM e GROUP BY src)") + "SELECT src AS id, list_contains(l, src + 1) AS has_next, len(list_filter(l, lambda x: x <> src + 1)) AS n_others, list_has_any(l, [1, 2, 3]) AS meets FROM a")
 def set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _g40(spark, sf_dir).adjacency()
+    rows = _parts(spark, sf_dir).adjacency()
     t, nxt = F.col("targets"), F.col("id") + 1
     return rows.select("id", sets.has(t, nxt).alias("has_next"), sets.size(sets.removed(t, nxt)).cast("long").alias("n_others"), sets.meets(t, F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("meets"))
 
@@ -413,22 +458,22 @@ _LINES = "a AS (SELECT src, string_agg(dst || ' 1', ' ' ORDER BY dst) AS line FR
 
 
 def _from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_graph(spark, sf_dir, 45).edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "weight")
+    return part_graph(spark, sf_dir).edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "weight")
 
 
-@query(_with(45, _FROM_ONE, _LINES) + "SELECT 0::BIGINT AS n, m || ' ' || (SELECT count(*) // 2 FROM e) || ' 001' AS value FROM n UNION ALL SELECT k, coalesce(line, '') FROM (SELECT unnest(range(1, m + 1)) AS k FROM n) LEFT JOIN a ON src = k")
+@query(_with(_FROM_ONE, _LINES) + "SELECT 0::BIGINT AS n, m || ' ' || (SELECT count(*) // 2 FROM e) || ' 001' AS value FROM n UNION ALL SELECT k, coalesce(line, '') FROM (SELECT unnest(range(1, m + 1)) AS k FROM n) LEFT JOIN a ON src = k")
 def metis_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.metis_lines(_from_one(spark, sf_dir))
 
 
-@query(_with(45, _FROM_ONE) + "SELECT src, dst, 1 AS weight FROM f")
+@query(_with(_FROM_ONE) + "SELECT src, dst, 1 AS weight FROM f")
 def metis_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.metis_graph(writers.metis_lines(_from_one(spark, sf_dir)))
 
 
-@query(_with(45) + "SELECT src, dst, CAST(1 + (src + dst) % 9 AS INTEGER) AS weight FROM e")
+@query(_with() + "SELECT src, dst, CAST(1 + (src + dst) % 9 AS INTEGER) AS weight FROM e")
 def dimacs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = part_graph(spark, sf_dir, 45).edges
+    edges = part_graph(spark, sf_dir).edges
     lines = edges.select(F.concat_ws(" ", F.lit("a"), "src", "dst", 1 + (F.col("src") + F.col("dst")) % 9).alias("value"))
     return text.parse_dimacs(lines.union(spark.createDataFrame([("c a comment",), ("p sp 1 1",)], "value string")))
 
@@ -438,36 +483,154 @@ def pattern_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.parse_pattern(spark.createDataFrame([(x,) for x in PATTERN], "value string"))[1]
 
 
-@query("SELECT o_custkey % 8 AS worker, string_agg((o_orderkey % 100)::VARCHAR, ' ' ORDER BY o_orderkey % 86400, o_orderkey % 100) AS times FROM orders GROUP BY ALL")
+_LOG = """g AS (SELECT o_orderkey AS k, o_custkey % 8 AS worker, o_orderkey // 5000 AS step, 40000 + o_orderkey % 3000 AS t FROM orders)"""
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log made from orders: (n, line). Each worker tells its partial evaluation, and then when it had nothing left to do."""
+    clock = lambda s: F.format_string("2020/01/01 %02d:%02d:%02d ", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 8).alias("worker"))
+    rest = orders.select((F.col("k") + 100).alias("n"), F.concat(clock(40000 + F.col("k") % 3000), F.lit("This worker "), "worker", F.lit(" dosen't update in the round "), "k").alias("line"))
+    steps = orders.select((F.floor(F.col("k") / 5000)).alias("s")).distinct().select((F.col("s") * 5000 + 99.5).alias("n"), F.concat(clock(30000 + F.col("s")), F.lit("start IncEval")).alias("line"))
+    head = spark.createDataFrame([(0.0, "2020/01/01 08:00:00 start PEval"), (1.5, "2020/01/01 08:00:01 something else")], "n double, line string")
+    evaluated = spark.range(8).select((F.col("id") + 10).cast("double").alias("n"), F.concat(clock(28810 + F.col("id")), F.lit("worker "), "id", F.lit(" duration time of partial evaluation: "), (F.col("id") + 0.5).cast("string")).alias("line"))
+    return rest.select(F.col("n").cast("double"), "line").union(steps.select(F.col("n").cast("double"), "line")).union(head).union(evaluated)
+
+
+@query("WITH " + _LOG + """ SELECT w.range AS worker, (9.5) || ' ' || (w.range + 0.5) || coalesce(' ' || (SELECT string_agg((t - 30000 - step)::DOUBLE::VARCHAR, ' ' ORDER BY k) FROM g WHERE worker = w.range), '') AS times FROM range(8) w""")
 def log_timing_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timing lines made from orders, read back and brought to one row a worker."""
-    second = F.col("o_orderkey") % 86400
-    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
-    lines = table(spark, sf_dir, "orders").select(F.concat(clock, F.lit(" worker "), F.col("o_custkey") % 8, F.lit(" duration time of calculation: "), F.col("o_orderkey") % 100).alias("line"))
-    rows = text.timing_rows(text.log_timings(lines))
-    return rows.select(F.col("workerId").cast("long").alias("worker"), F.array_join(F.transform("times", lambda x: x.cast("long").cast("string")), " ").alias("times"))
+    """Each worker's times in the order of the log's lines."""
+    rows = text.timing_rows(text.log_timings(_log_lines(spark, sf_dir)))
+    return rows.select(F.col("workerId").cast("long").alias("worker"), F.array_join(F.transform("times", lambda x: x.cast("string")), " ").alias("times"))
+
+
+@query("WITH " + _LOG + """ SELECT w.range || ',9.5,' || (w.range + 0.5) || coalesce((SELECT string_agg(',' || (t - 30000 - step)::DOUBLE, '' ORDER BY k) FROM g WHERE worker = w.range), '') AS value FROM range(8) w
+    UNION ALL SELECT 'workerId,PEval initial Time,PEval iteration time,inc eval time'""")
+def log_timing_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a CSV file, written and read back as lines."""
+    path = _folder(spark)
+    writers.write_timings(text.timing_rows(text.log_timings(_log_lines(spark, sf_dir))), path)
+    return spark.read.text(path).select("value")
+
+
+# files, written to the shared folder and read back
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _words(*columns) -> Column:
+    return F.concat_ws(" ", *[c if isinstance(c, Column) else F.col(c).cast("string") for c in columns])
+
+
+@query(_with(_PLACED) + "SELECT src, dst, 1.0::DOUBLE AS weight, part FROM p")
+def edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = writers.write_parts(_placed(spark, sf_dir).select("part", _words("src", "dst", F.lit("more")).alias("value")), _folder(spark), "G")
+    return text.edge_list(spark, f"{path}/G.*")
+
+
+@query(_with(_PLACED, _REPLICAS) + "SELECT master_part AS part, id, coalesce(string_agg(part::VARCHAR, ' ' ORDER BY part) FILTER (part <> master_part), '') AS mirror_parts FROM r GROUP BY ALL")
+def master_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = partitioning.masters(_placed(spark, sf_dir))
+    path = writers.write_parts(rows.select("part", F.concat_ws(" ", F.col("id").cast("string"), F.col("mirror_parts").cast("array<string>")).alias("value")), _folder(spark), "Master")
+    return text.masters(spark, f"{path}/Master.*").select("part", "id", F.array_join(F.col("mirror_parts").cast("array<string>"), " ").alias("mirror_parts"))
+
+
+@query(_with(_PLACED, _REPLICAS) + "SELECT part, id, master_part FROM r WHERE part <> master_part")
+def mirror_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = writers.write_parts(partitioning.mirrors(_placed(spark, sf_dir)).select("part", _words("id", "master_part").alias("value")), _folder(spark), "Mirror")
+    return text.mirrors(spark, f"{path}/Mirror.*")
+
+
+@query(_with(links=_DAYS) + f"SELECT CAST(o_orderkey % {K} AS INTEGER) AS part, o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM v)")
+def isolated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = isolated_vertices(spark, sf_dir).select(partitioning.vertex_part(K).alias("part"), _words("id").alias("value"))
+    return text.isolated(spark, f"{writers.write_parts(rows, _folder(spark), 'Isolateds')}/*").select("part", "id")
+
+
+@query(_with() + f"SELECT src AS id, CAST(count(*) AS INTEGER) AS out_degree, CAST(src % {K} AS INTEGER) AS part FROM e GROUP BY src")
+def degree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).out_degree().select(partitioning.vertex_part(K).alias("part"), _words("id", "out_degree").alias("value"))
+    return text.degrees(spark, f"{writers.write_parts(rows, _folder(spark), 'Degree')}/Degree.*")
+
+
+@query("SELECT p_partkey + 1 AS node, CAST(p_size % 7 AS INTEGER) AS part FROM part")
+def metis_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.lit(0).alias("part"), (F.col("p_size") % 7).cast("string").alias("value"), F.col("p_partkey").alias("n"))
+    path = writers.write_parts(rows, _folder(spark), "graph.part", "n")
+    return text.metis_partition(text.numbered(spark, f"{path}/graph.part.0"))
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS idx, 'host' || s_suppkey || ':' || (10000 + s_nationkey) AS endpoint, s_suppkey = 0 AS coordinator FROM supplier")
+def cluster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.lit(0).alias("part"), F.concat("s_suppkey", F.lit(",host"), "s_suppkey", F.lit(":"), F.col("s_nationkey") + 10000).alias("value"))
+    return text.cluster(spark, f"{writers.write_parts(rows, _folder(spark), 'config')}/config.*")
+
+
+@query(_with(_HOPS.format(most=40), recursive=True) + "SELECT id || chr(9) || min(d) || 'E+00' AS value FROM s GROUP BY id")
+def sssp_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    writers.write_tsv(sssp_hops(spark, sf_dir), path)
+    return spark.read.text(path).select("value")
+
+
+@query(_with(_BOTH, _MIN_LABEL.format(edges="b"), recursive=True, links=_CHAINS) + "SELECT id || chr(9) || label AS value FROM r")
+def component_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    writers.write_tsv(connected_components(spark, sf_dir), path)
+    return spark.read.text(path).select("value")
+
+
+@query(_with(_SIM, _REFINED.format(most=12), recursive=True) + "SELECT u || chr(9) || v AS value FROM st WHERE it = 12")
+def simulation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    writers.write_tsv(graph_simulation(spark, sf_dir), path)
+    return spark.read.text(path).select("value")
+
+
+@query(_ranks(200) + "SELECT id, pr, true AS in_format FROM st WHERE it = (SELECT max(it) FROM st)")
+def rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of all digits, in exponent format, give the same numbers when read back."""
+    path = _folder(spark)
+    writers.write_tsv(pagerank_delta(spark, sf_dir), path)
+    f = F.split("value", "\t")
+    return spark.read.text(path).select(f[0].cast("long").alias("id"), f[1].cast("double").alias("pr"), f[1].rlike(r"^\d(\.\d*[1-9])?E[+-]\d\d$").alias("in_format"))
+
+
+@query("SELECT l_quantity, replace(regexp_replace(printf('%.4E', l_quantity), '\\.?0*E', 'E'), 'E+00', 'E+00') AS value FROM (SELECT DISTINCT l_quantity FROM lineitem)")
+def exponent_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_quantity").distinct().select("l_quantity", exponent(F.col("l_quantity")).alias("value"))
+
+
+@query(_with() + "SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst DESC) AS targets FROM e GROUP BY src")
+def adjacency_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets in the order of the lines that name them, here from the largest down."""
+    lines = part_links(table(spark, sf_dir, "lineitem")).select((-F.col("dst")).alias("n"), F.concat_ws(" ", F.lit("a"), "src", "dst", F.lit(1)).alias("value"))
+    return text.adjacency(text.parse_dimacs(lines)).select("id", F.array_join(F.col("targets").cast("array<string>"), " ").alias("targets"))
 
 
-@query(_with(40, _HOPS.format(most=40), recursive=True) + "SELECT id || chr(9) || CASE WHEN min(d) < 10 THEN min(d) || 'E+00' WHEN min(d) % 10 = 0 THEN (min(d) // 10) || 'E+01' ELSE (min(d) // 10) || '.' || (min(d) % 10) || 'E+01' END AS value FROM s GROUP BY id")
+@query(_with(_HOPS.format(most=40), recursive=True) + "SELECT id || chr(9) || CASE WHEN min(d) < 10 THEN min(d) || 'E+00' WHEN min(d) % 10 = 0 THEN (min(d) // 10) || 'E+01' ELSE (min(d) // 10) || '.' || (min(d) % 10) || 'E+01' END AS value FROM s GROUP BY id")
 def result_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.tsv_lines(sssp_hops(spark, sf_dir))
 
 
-@query(_with(40, _OWNED) + "SELECT sp AS part, src, string_agg(dst || ':1', ' ' ORDER BY dst) AS targets FROM o WHERE sp = dp GROUP BY ALL")
+@query(_with(_OWNED) + """SELECT '{"Graph' || sp || '":{"' || src || '":{' || string_agg('"' || dst || '":1.0', ',' ORDER BY dst) || '}}}' AS value FROM o WHERE sp = dp GROUP BY sp, src""")
 def subgraph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = writers.subgraph_rows(_owned(spark, sf_dir))
-    return rows.select("part", "src", F.array_join(F.transform(F.map_entries("targets"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("long").cast("string"))), " ").alias("targets"))
+    path = _folder(spark)
+    writers.write_subgraphs(_owned(spark, sf_dir), path)
+    return spark.read.text(path).select("value")
 
 
-@query(_with(40, _OWNED, "b AS (SELECT sp AS part, 'F.O' AS side, dst AS vertex, src AS other, dp AS op FROM o WHERE sp <> dp UNION ALL SELECT dp, 'F.I', dst, src, sp FROM o WHERE sp <> dp)") + "SELECT part, side, vertex, string_agg(other || ':1 ' || op, ',' ORDER BY other) AS others FROM b GROUP BY ALL")
+@query(_with(_OWNED, "b AS (SELECT sp AS part, 'F.O' AS side, dst AS vertex, src AS other, dp AS op FROM o WHERE sp <> dp UNION ALL SELECT dp, 'F.I', dst, src, sp FROM o WHERE sp <> dp)") + """
+    SELECT '{"Graph' || part || side || '":{"' || vertex || '":{' || string_agg('"' || other || '":"1 ' || op || '"', ',' ORDER BY other) || '}}}' AS value FROM b GROUP BY part, side, vertex""")
 def border_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = writers.border_rows(_owned(spark, sf_dir))
-    return rows.select("part", "side", "vertex", F.array_join(F.transform(F.map_entries("others"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"])), ",").alias("others"))
+    path = _folder(spark)
+    writers.write_borders(_owned(spark, sf_dir), path)
+    return spark.read.text(path).select("value")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank, component and distance of every vertex of the graph of all links."""
-    graph = part_graph(spark, sf_dir, 1)
+    graph = part_graph(spark, sf_dir)
     rank = pagerank.pagerank(graph)
     parts = labels.connected_components(graph)
     hops = shortest_paths.sssp(graph, _source(graph))

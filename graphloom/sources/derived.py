@@ -12,15 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_links(lineitem: DataFrame, least_quantity: float) -> DataFrame:
+def part_links(lineitem: DataFrame) -> DataFrame:
     """(src, dst), once each, without self-loops; ties inside an order are broken by further columns."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rows = lineitem.where(F.col("l_quantity") >= least_quantity).select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    rows = lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     return rows.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
-def part_graph(spark: SparkSession, sf_dir: str, least_quantity: float, weighted: bool = False, modulus: int = 100) -> Graph:
-    links = part_links(table(spark, sf_dir, "lineitem"), least_quantity)
+def order_links(orders: DataFrame, by: tuple[str, ...] = ("o_custkey", "o_orderdate")) -> DataFrame:
+    """(src, dst), once each: an order and the next one with the same customer, and the next one of the same day."""
+    following = lambda c: F.lead("o_orderkey").over(Window.partitionBy(c).orderBy("o_orderdate", "o_orderkey"))
+    rows = orders.select(F.col("o_orderkey").alias("src"), F.array(*[following(c) for c in by]).alias("next"))
+    return rows.select("src", F.explode("next").alias("dst")).where("dst IS NOT NULL").distinct()
+
+
+def part_graph(spark: SparkSession, sf_dir: str, weighted: bool = False, modulus: int = 100) -> Graph:
+    links = part_links(table(spark, sf_dir, "lineitem"))
     if weighted:
         links = links.withColumn("weight", (F.lit(1) + (F.col("src") * 7 + F.col("dst") * 13) % 10).cast("double"))
-    return Graph.from_edges(links, modulus=modulus).cut()
+    return Graph.from_edges(links, modulus=modulus, written=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,9 +70,16 @@ def dimacs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_dimacs(lines: DataFrame) -> DataFrame:
-    """Arc lines ``a src dst w``: (src, dst, weight int); all other lines are skipped."""
-    rows = lines.where(F.col("value").startswith("a ")).select(F.split(F.trim("value"), r"\s+").alias("f"))
-    return rows.select(_id(2).alias("src"), _id(3).alias("dst"), F.element_at("f", 4).cast("int").alias("weight"))
+    """Arc lines ``a src dst w``: (src, dst, weight int), and the line's number ``n`` if it is known; all other lines are skipped."""
+    number = ["n"] if "n" in lines.columns else []
+    rows = lines.where(F.col("value").startswith("a ")).select(F.split(F.trim("value"), r"\s+").alias("f"), *number)
+    return rows.select(_id(2).alias("src"), _id(3).alias("dst"), F.element_at("f", 4).cast("int").alias("weight"), *number)
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``id`` and its targets and weights in the order of ``n``, the number of the line that has the edge."""
+    ordered = F.array_sort(F.collect_list(F.struct("n", "dst", "weight")))
+    return edges.groupBy(F.col("src").alias("id")).agg(ordered.alias("a")).select("id", F.col("a.dst").alias("targets"), F.col("a.weight").alias("weights"))
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -113,24 +120,45 @@ def checked_partition(parts: DataFrame, n_nodes: int) -> DataFrame:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    """(n, line) of a run log; lines start with a date and a clock."""
+    return numbered(spark, path).select("n", F.col("value").alias("line"))
 
 
-_STAMP = r"(\d{2}:\d{2}:\d{2})"
+#: Line numbers that one task takes when markers are carried forward.
+BLOCK = 65_536
 
 
 def log_timings(lines: DataFrame) -> DataFrame:
-    """(worker, step, seconds): timed lines ``worker K ... duration time of STEP: SECONDS`` of a run log, in order of appearance."""
-    found = lines.select(F.regexp_extract("line", r"worker:?\s*(\d+)", 1).alias("w"), F.regexp_extract("line", r"duration time of ([\w ]+?):\s*([0-9.]+)", 1).alias("step"), F.regexp_extract("line", r"duration time of ([\w ]+?):\s*([0-9.]+)", 2).alias("s"), F.regexp_extract("line", _STAMP, 1).alias("at"))
-    return found.where("w <> '' AND step <> ''").select(F.col("w").cast("int").alias("worker"), "step", F.col("s").cast("double").alias("seconds"), seconds_of("at").alias("at_second"))
+    """(worker, n, k, seconds): the times that a run log tells, by number of line and place in it. Takes ``n`` and ``line``.
+
+    A line "duration time of partial evaluation:" gives what the worker needed before it began to iterate (from the
+    last "start PEval") and its seconds of iteration; "dosen't update in the round" gives the seconds from the last
+    "start IncEval". Times without a start before them are null. Starts are carried forward inside blocks of lines and
+    from the last of earlier blocks, so no task has the whole log.
+    """
+    f, line = F.split("line", " "), F.col("line")
+    at = seconds_of(F.get(f, F.lit(1)))
+    done, idle = line.contains("duration time of partial evaluation:"), line.contains("dosen't update in the round")
+    rows = lines.select("n", F.floor(F.col("n") / BLOCK).alias("block"), at.alias("at"), f.alias("f"), done.alias("done"), idle.alias("idle"), F.when(line.contains("start PEval"), at).alias("p"), F.when(line.contains("start IncEval"), at).alias("i"))
+    rows = rows.where("done or idle or p is not null or i is not null")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(last("p").alias("lp"), last("i").alias("li"))
+    blocks = blocks.select("block", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("lp", "li")])
+    inside = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(blocks, "block").select("n", "at", "f", "done", "idle", *[F.coalesce(F.last(c, ignorenulls=True).over(inside), f"l{c}").alias(c) for c in ("p", "i")])
+    own = F.element_at("f", 10).cast("double")
+    times = F.when(F.col("done"), F.array(F.col("at") - F.col("p") - own, own)).otherwise(F.array((F.col("at") - F.col("i")).cast("double")))
+    worker = F.when(F.col("done"), F.element_at("f", 4)).otherwise(F.element_at("f", 5)).cast("int")
+    return rows.where("done or idle").select(worker.alias("worker"), "n", F.posexplode(times).alias("k", "seconds"))
 
 
 def seconds_of(clock: str | Column) -> Column:
     """``HH:MM:SS`` as seconds; null if it is not that."""
     f = F.split(clock, ":")
-    return F.when(F.size(f) == 3, f[0].cast("int") * 3600 + f[1].cast("int") * 60 + f[2].cast("int"))
+    return F.when(F.size(f) == 3, f[0].try_cast("int") * 3600 + f[1].try_cast("int") * 60 + f[2].try_cast("int"))
 
 
 def timing_rows(timings: DataFrame) -> DataFrame:
-    """A row for each worker with its times in order: (workerId, times)."""
-    return timings.groupBy(F.col("worker").alias("workerId")).agg(F.array_sort(F.collect_list(F.struct("at_second", "step", "seconds"))).alias("t")).select("workerId", F.col("t.seconds").alias("times"))
+    """A row for each worker with its times in the order of the log: (workerId, times)."""
+    return timings.groupBy(F.col("worker").alias("workerId")).agg(F.array_sort(F.collect_list(F.struct("n", "k", "seconds"))).alias("t")).select("workerId", F.col("t.seconds").alias("times"))

@@ -24,7 +24,8 @@ def metis_lines(edges: DataFrame) -> DataFrame:
     lists = edges.groupBy("src").agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(" ", x["dst"].cast("string"), x["weight"].cast("string"))), " ").alias("value"))
     most = F.when(F.min(F.least("src", "dst")) < 1, F.raise_error(F.lit("METIS ids start at 1")).cast("long")).otherwise(F.max(F.greatest("src", "dst")))
     size = edges.agg(most.alias("nodes"), F.count(F.lit(1)).alias("n_edges"))
-    nodes = size.where("nodes is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), "nodes")).alias("src"))
+    last = size.first()["nodes"]
+    nodes = edges.sparkSession.range(1, (last or 0) + 1).withColumnRenamed("id", "src")
     body = nodes.join(lists, "src", "left").select(F.col("src").alias("n"), F.coalesce("value", F.lit("")).alias("value"))
     head = size.select(F.lit(0).cast("long").alias("n"), F.concat_ws(" ", F.coalesce("nodes", F.lit(0)).cast("string"), F.floor(F.col("n_edges") / 2).cast("string"), F.lit("001")).alias("value"))
     return head.union(body)
@@ -54,9 +55,41 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("part").json(path)
 
 
+def write_subgraphs(owned: DataFrame, path: str) -> None:
+    """The inner edges of each partition as JSON, an object on each line for each source: {"Graph<part>": {source: {target: weight}}}."""
+    rows = subgraph_rows(owned)
+    rows.select(F.to_json(F.create_map(F.concat(F.lit("Graph"), "part"), F.create_map("src", "targets"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_borders(owned: DataFrame, path: str) -> None:
+    """The border of each partition as JSON, an object on each line for each vertex: {"Graph<part>F.I": {vertex: {other: "weight part"}}}, and F.O."""
+    rows = border_rows(owned)
+    rows.select(F.to_json(F.create_map(F.concat(F.lit("Graph"), "part", "side"), F.create_map("vertex", "others"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_parts(lines: DataFrame, path: str, name: str, order: str | None = None) -> str:
+    """``value`` of each ``part`` as one text file ``<name>.<part>`` in the folder ``path``, in the order of column ``order``; returns ``path``.
+
+    A partition's file is written by one task, as the format has one file for each partition.
+    """
+    spark, made = lines.sparkSession, f"{path}/making-{name}"
+    dealt = lines.repartition("part")
+    dealt = dealt.sortWithinPartitions("part", order) if order else dealt.sortWithinPartitions("part")
+    dealt.select("part", "value").write.partitionBy("part").text(made)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = to_path(made)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind in files.listStatus(folder):
+        if kind.isDirectory():
+            part = kind.getPath().getName().split("=")[1]
+            for one in files.listStatus(kind.getPath()):
+                files.rename(one.getPath(), to_path(f"{path}/{name}.{part}"))
+    files.delete(folder, True)
+    return path
+
+
 def write_timings(rows: DataFrame, path: str) -> None:
-    """CSV with a header: worker, first two times, and the later ones joined by spaces."""
-    t = F.col("times")
-    rows.select(
-        "workerId", F.get(t, F.lit(0)).alias("PEval initial Time"), F.get(t, F.lit(1)).alias("PEval iteration time"), F.array_join(F.transform(F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0))), lambda x: x.cast("string")), " ").alias("inc eval time")
-    ).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header: a line for each worker, in their order, with all its times, as many as it has."""
+    head = rows.sparkSession.createDataFrame([(-1, "workerId,PEval initial Time,PEval iteration time,inc eval time")], "at int, value string")
+    body = rows.select(F.col("workerId").alias("at"), F.concat_ws(",", F.col("workerId").cast("string"), F.col("times").cast("array<string>")).alias("value"))
+    head.union(body).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)

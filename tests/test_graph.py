@@ -168,11 +168,65 @@ def test_writers(spark, tmp_path, graph):
     owned = partitioning.owned_by_id(graph, 2)
     writers.write_json(writers.subgraph_rows(owned), f"{tmp_path}/json")
     assert (tmp_path / "json" / "part=0").is_dir()
-    log = spark.createDataFrame([("10:00:01 worker 1 duration time of calculation: 2.5",), ("10:00:09 worker 1 duration time of calculation: 0.5",), ("other",)], "line string")
-    times = text.timing_rows(text.log_timings(log))
-    assert rows(times, "workerId", "times") == [(1, [2.5, 0.5])]
+    lines = ["2020/01/01 10:00:00 start PEval", "2020/01/01 10:00:09 worker 1 duration time of partial evaluation: 2.5", "other", "2020/01/01 10:00:10 start IncEval", "2020/01/01 10:00:30 This worker 1 dosen't update in the round 3", "2020/01/01 10:01:00 start IncEval", "2020/01/01 10:01:01 This worker 1 dosen't update in the round 4", "2020/01/01 10:01:01 This worker 2 dosen't update in the round 4"]
+    (tmp_path / "log").write_text("\n".join(lines))
+    times = text.timing_rows(text.log_timings(text.run_log(spark, f"{tmp_path}/log")))
+    assert rows(times, "workerId", "times") == [(1, [6.5, 2.5, 20.0, 1.0]), (2, [1.0])]
     writers.write_timings(times, f"{tmp_path}/csv")
-    assert next((tmp_path / "csv").glob("part-*")).read_text().splitlines()[0].startswith("workerId,PEval initial Time")
+    found = next((tmp_path / "csv").glob("part-*")).read_text().splitlines()
+    assert found[0] == "workerId,PEval initial Time,PEval iteration time,inc eval time" and sorted(found[1:]) == ["1,6.5,2.5,20.0,1.0", "2,1.0"]
+
+
+def test_log_markers_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK", 3)
+    lines = [(0, "d 00:00:05 start PEval")] + [(k, f"d 00:00:{k + 10:02d} worker {k % 2} duration time of partial evaluation: 1") for k in range(1, 8)] + [(8, "d 00:01:00 start IncEval"), (13, "d 00:01:07 This worker 0 dosen't update in the round 1")]
+    found = rows(text.log_timings(spark.createDataFrame(lines, "n long, line string")), "n", "k", "seconds")
+    assert found == sorted([(k, 0, k + 4.0) for k in range(1, 8)] + [(k, 1, 1.0) for k in range(1, 8)] + [(13, 0, 7.0)])
+
+
+def test_layout_with_hubs(spark, monkeypatch):
+    """A key of more rows than a partition's share is met by broadcast; the join is the same."""
+    from graphloom.operators import recovery
+
+    monkeypatch.setattr(recovery, "HUB", 50)
+    edges = spark.createDataFrame([(1, k) for k in range(400)] + [(k, k + 1) for k in range(2, 60)], "src long, dst long")
+    laid, other = recovery.ByKey(recovery.cut(edges), "src"), spark.createDataFrame([(1, "a"), (7, "b"), (99, "c")], "src long, x string")
+    assert [r["src"] for r in laid.hubs.collect()] == [1]
+    assert rows(laid.join(other), "src", "dst", "x") == rows(edges.join(other, "src"), "src", "dst", "x")
+    laid.release()
+
+
+def test_rounds_do_not_move_edges(spark, graph):
+    """With broadcasts off, a round's plan deals out the frontier and the state and not the edges."""
+    from graphloom.operators import recovery
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid = recovery.ByKey(graph.edges, "src")
+        plan = laid.join(spark.range(3).withColumnRenamed("id", "src"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    outside = plan.split("InMemoryTableScan")[0]
+    assert "InMemoryTableScan" in plan and outside.count("Exchange") <= 1 and outside.count("Sort [") <= 1
+    laid.release()
+
+
+def test_relaxed_edges_are_counted(graph):
+    metrics = Metrics()
+    shortest_paths.sssp(graph, 1, metrics)
+    assert [r[1:4] for r in metrics.rows] == [(1, 1, 2), (3, 2, 2), (4, 1, 2), (5, 1, 1), (5, 0, 0)] and metrics.teps() > 0
+
+
+def test_simulation_continues_after_removal(spark, thirds):
+    pattern = simulation.Pattern({1: 1, 2: 2}, {1: (2,), 2: ()})
+    before = simulation.simulation(thirds, pattern)
+    fewer = Graph(thirds.vertices, thirds.edges.where("not (src = 4 and dst = 5)"), 3)
+    assert rows(simulation.simulation_continue(fewer, pattern, simulation.held(before, pattern)), "u", "v") == rows(simulation.simulation(fewer, pattern), "u", "v")
+    changes = simulation.count_changes(thirds, spark.createDataFrame([(1, 2), (1, 4), (2, 5)], "u long, v long"), spark.createDataFrame([(1, 4), (1, 3)], "u long, v long"))
+    counts = lambda pairs: {(s, u): sum((u, d) in pairs for a, d in EDGES if a == s) for s, _ in EDGES for u in (1, 2)}
+    old, new = counts({(1, 2), (1, 4), (2, 5)}), counts({(1, 4), (1, 3)})
+    assert rows(changes, "v", "u", "change") == sorted((s, u, new[s, u] - old[s, u]) for s, u in old if new[s, u] != old[s, u])
 
 
 def test_sets(spark):
