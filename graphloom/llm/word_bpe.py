@@ -8,6 +8,7 @@ goes through the library's own normaliser and pre-tokenizer.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -36,8 +37,10 @@ def _chars(kind: str) -> str:
 
 _LETTERS, _NUMBERS = "a-zA-Z" + _chars("L"), "0-9" + _chars("N")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: Words held by each encoder, about 200 bytes each.
-CACHED = 800_000
+#: Words held by each encoder, about 200 bytes each; characters above which a word is never held.
+CACHED, HELD = 800_000, 256
+#: Symbols above which a word is merged by itself, and cells (words x symbols of the longest) of words merged together.
+LONG, CELLS = 96, 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -78,8 +81,9 @@ class Codec:
         if need := list(set().union(*filter(None, parts)).difference(words)):
             words.update(zip(need, self.encode_words([w.translate(self.table) if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in need]), strict=True))
         out = [b"".join([words[w] for w in p]) if p is not None else self.careful(t) for p, t in zip(parts, texts, strict=True)]
-        if len(words) > CACHED:  # the words that came first, hence the frequent ones, stay
-            for w in need:
+        full = len(words) > CACHED
+        for w in need:  # the words that came first, hence the frequent ones, stay
+            if full or len(w) > HELD:
                 del words[w]
         return out
 
@@ -134,13 +138,13 @@ class SpeculativeCodec(Codec):
     def __init__(self, path: str):
         super().__init__(path)
         end = self.suffix
-        merges = {(self.vocab[a] << 32) | self.vocab[b]: k for k, (a, b) in reversed(list(enumerate(self.merges)))}
-        self.merge_keys = np.array(sorted(merges), dtype=np.int64)
-        self.merge_ranks = np.array([merges[k] for k in self.merge_keys.tolist()], dtype=np.int64)
+        self.rank_of = {(self.vocab[a] << 32) | self.vocab[b]: k for k, (a, b) in reversed(list(enumerate(self.merges)))}
+        self.merge_keys = np.array(sorted(self.rank_of), dtype=np.int64)
+        self.merge_ranks = np.array([self.rank_of[k] for k in self.merge_keys.tolist()], dtype=np.int64)
         self.merge_into = np.array([self.vocab[a + b] for a, b in self.merges], dtype=np.int64)
         self.final = {t[: len(t) - len(end)]: i for t, i in self.vocab.items() if t.endswith(end)}
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(end)}
-        self.longest = max(map(len, self.inner))
+        self.longest, self.longest_final = max(map(len, self.inner)), max(map(len, self.final))
         self.spelled = {i: self.letters(t) for t, i in self.vocab.items()}
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.counts = {"words": 0, "merged": 0}
@@ -152,12 +156,20 @@ class SpeculativeCodec(Codec):
         return np.where((self.merge_keys[at] == key) & (left >= 0) & (right >= 0), self.merge_ranks[at], _NONE)
 
     def merge(self, words: list[list[int]]) -> list[list[int]]:
-        """Plain BPE on many short words at once: in each, the pair of lowest rank and then leftmost goes first."""
+        """Plain BPE on many words: in each, the pair of lowest rank and then leftmost goes first.
+
+        Short words are merged together, in chunks of so many cells; long ones each by itself.
+        """
         out: list[list[int]] = [[]] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 20_000):
-            some = order[at : at + 20_000]
-            width = len(words[some[-1]]) + 1
+        while order and len(words[order[-1]]) > LONG:
+            k = order.pop()
+            out[k] = self.merge_long(words[k])
+        while order:
+            some, width = order[: max(1, CELLS // (len(words[order[0]]) + 1))], 0
+            while some and (width := len(words[some[-1]]) + 1) * len(some) > CELLS and len(some) > 1:
+                some = some[: len(some) // 2]
+            order = order[len(some) :]
             ids = np.full((len(some), width), -1, np.int64)
             for k, w in enumerate(some):
                 ids[k, : len(words[w])] = words[w]
@@ -187,6 +199,29 @@ class SpeculativeCodec(Codec):
                 out[w] = ids[k][ids[k] >= 0].tolist()
         return out
 
+    def merge_long(self, word: list[int]) -> list[int]:
+        """The same for one word of n symbols in n log n steps: a heap of ranked pairs over a linked list."""
+        n, ids, known = len(word), list(word), self.rank_of
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        ranks = self.ranked(np.array(word[:-1], np.int64), np.array(word[1:], np.int64))
+        at = np.flatnonzero(ranks < _NONE)
+        heap = ((ranks[at] << 32) | at).tolist()
+        heapq.heapify(heap)
+        into = self.merge_into.tolist()
+        while heap:
+            rank, k = divmod(heapq.heappop(heap), 1 << 32)
+            right = after[k]
+            if ids[k] < 0 or right < 0 or known.get((ids[k] << 32) | ids[right]) != rank:
+                continue  # one of the two has been merged since
+            ids[k], ids[right], after[k] = into[rank], -1, after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (r := known.get((ids[k] << 32) | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (r << 32) | k)
+            if before[k] >= 0 and (r := known.get((ids[before[k]] << 32) | ids[k])) is not None:
+                heapq.heappush(heap, (r << 32) | before[k])
+        return [i for i in ids if i >= 0]
+
     def letters(self, token: str) -> list[int]:
         """The ids that a token's text starts from: one for each byte, the last with the word end."""
         end = self.suffix
@@ -196,7 +231,7 @@ class SpeculativeCodec(Codec):
     def propose(self, word: str) -> list[int]:
         out, at, n, final, inner, longest = [], 0, len(word), self.final, self.inner, self.longest
         while at < n:
-            if (i := final.get(word[at:])) is not None:
+            if n - at <= self.longest_final and (i := final.get(word[at:])) is not None:
                 out.append(i)
                 break
             for size in range(min(longest, n - at - 1), 0, -1):
