@@ -17,33 +17,28 @@ GRAMS = (3, 4, 5)
 # The rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Words of the labelled table; sites named by the first are blocked, by the second allowed.
+# What sites of the labelled table are named by; those of the first are blocked, those of the second allowed.
 BLOCKED_WORDS = (
-    "adult", "porn", "xxx", "sex", "nude", "escort", "casino", "poker", "slots", "bets", "betting", "gambling", "jackpot", "lottery", "pills", "viagra", "pharma", "steroids",
-    "spam", "malware", "phishing", "warez", "crack", "keygen", "torrent", "piracy", "ads", "adserver", "track", "tracker", "popup", "clickbait", "payday", "scam", "ponzi", "hack",
+    "porn", "sex", "nude", "escort", "hookup", "camgirl", "fetish", "xrated", "poker", "slots", "roulette", "blackjack", "gambling", "jackpot", "lottery", "viagra", "cialis", "steroid", "painkiller", "dietpatch",
+    "malware", "phishing", "warez", "keygen", "crackz", "torrent", "piracy", "popunder", "clickbait", "payday", "quickloan", "scam", "ponzi", "replica", "knockoff", "getrich", "giveaway", "prizeclaim", "hacktool", "botnet",
 )
 ALLOWED_WORDS = (
-    "news", "wiki", "docs", "library", "school", "university", "science", "health", "weather", "recipes", "garden", "history", "music", "museum", "travel", "sports", "books", "research",
-    "journal", "forum", "maps", "code", "software", "community", "government", "city", "local", "family", "photo", "radio", "theater", "market", "bank", "energy", "nature", "language",
-    "thing", "there", "other", "nation", "station", "and", "the", "then", "that", "earth", "north", "anthem", "breath", "notion", "section", "mother", "shore", "winter", "ration", "bread",
+    "news", "wiki", "docs", "library", "school", "university", "science", "health", "weather", "recipes", "garden", "history", "music", "museum", "travel", "sports", "books", "research", "journal", "forum",
+    "maps", "code", "software", "community", "government", "city", "local", "family", "photo", "radio", "theater", "market", "bank", "energy", "nature", "language", "gazette", "herald", "observer", "college",
+    "institute", "academy", "hospital", "clinic", "archive", "gallery", "orchestra", "cinema", "railway", "airport", "harbour", "village", "council", "parish", "bakery", "kitchen", "carpentry", "bicycle", "mountain", "river",
 )
-_PREFIXES, _ENDINGS, _TOPS = ("", "www.", "blog.", "m."), ("", "-{}", "{}"), ("com", "org")
-_BLOCKED_TAILS, _ALLOWED_TAILS = ("x", "win", "free", "farm", "cheap", "hot", "best"), ("house", "world", "point", "house", "today", "guide", "press")
+_PLACES, _TOPS = ("en", "de", "es", "fr"), ("com", "org", "info", "co")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each word as a host under a few prefixes, endings and paths; 1 is blocked."""
+    """The small labelled table, by rule: every word names sites by itself, beside the next two words and in a path; 1 is blocked."""
     out = []
-    for label, words, tails in ((1, BLOCKED_WORDS, _BLOCKED_TAILS), (0, ALLOWED_WORDS, _ALLOWED_TAILS)):
+    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
         for k, word in enumerate(words):
-            for j, prefix in enumerate(_PREFIXES):
-                tail = tails[(k + j) % len(tails)]
-                for ending in _ENDINGS:
-                    host = f"{prefix}{word}{ending.format(tail)}.example.{_TOPS[(k + j) % 2]}"
-                    path = ("/", f"/en/{1000 + 37 * k}", f"/{'de' if j % 2 else 'es'}/{5000 + 91 * k}.html", f"/fr/{200 + k}/")[(j + k) % 4]
-                    out.append((f"https://{host}{path}", label))
-            path_word = word if label else f"{word}-{tails[k % len(tails)]}"
-            out.append((f"https://www.site{k}.example.com/{path_word}/{k}", label))
+            one, two = words[(k + 1) % len(words)], words[(k + 2) % len(words)]
+            for j, host in enumerate((word, f"www.{word}", f"{word}-{one}", f"{word}{two}", f"blog.{two}-{word}")):
+                out.append((f"https://{host}.{_TOPS[(k + j) % 4]}/{_PLACES[(k + 2 * j) % 4]}/{37 * k + j}", label))
+            out.append((f"https://www.site{k}.{_TOPS[k % 4]}/{word}/{one}/{k}", label))
     return out
 
 
@@ -72,7 +67,7 @@ def features(host: str, path: str) -> np.ndarray:
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def train(table: Sequence[tuple[str, int]], l2: float = 1e-3, steps: int = 300, rate: float = 0.05) -> tuple[float, np.ndarray]:
+def train(table: Sequence[tuple[str, int]], l2: float = 1e-2, steps: int = 300, rate: float = 0.05) -> tuple[float, np.ndarray]:
     """Bias and weights of logistic regression on the presence of n-grams, by Adam on the whole table."""
     rows = [features(*split(u)) for u, _ in table]
     y = np.array([label for _, label in table], float)
@@ -115,7 +110,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, table
     Rules are column expressions; the score of the classifier, fitted on ``table`` (by default
     ``labelled_urls()``), decides where no rule fits. A null url, or one without ``://``, has an empty host
     and path and is judged by the classifier's bias and empty marks. Rows that repeat and rows with a null
-    id each give a row; an empty table gives an empty one.
+    id each give a row; an empty table gives an empty one; a very long url is judged whole.
     """
     bias, weights = train(table if table is not None else labelled_urls())
 
