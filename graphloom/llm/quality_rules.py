@@ -86,11 +86,18 @@ class Rule:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Statistics of at most ``max_rows`` labelled documents, chosen by a hash of the id, written once."""
-    keys = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1)).dropDuplicates(["doc_id"])
-    keys = F.broadcast(keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(keys, "doc_id").repartition(shared.partitions(docs.sparkSession)))
-    return shared.cut(rows.drop("text"))
+    """Statistics of at most ``max_rows`` labelled rows, chosen by hashes of id and text, written once.
+
+    A document with both labels counts as bad; rows of one id and text count once, rows of one id with different
+    texts each. Labels without a document, and those that are not 0 or 1, are left out; other columns are ignored.
+    """
+    keys = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
+    keys = F.broadcast(keys.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(keys, "doc_id")
+    rows = shared.cut(rows.dropDuplicates(["doc_id", "text"]))
+    if rows.count() > max_rows:  # ids that repeat with different texts
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
+    return shared.cut(with_statistics(rows.repartition(shared.partitions(docs.sparkSession))).drop("text"))
 
 
 def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, bins: int = 24, precision: float = 0.97, least: int = 8) -> list[Rule]:
@@ -196,7 +203,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_c
     """``doc_id``, the statistics, ``base_failed`` and ``kept`` of every whole text, without a shuffle.
 
     Null and empty texts have no words and fail; rows that repeat and rows with a null id each give a
-    row; other columns are ignored; an empty table gives an empty one.
+    row; other columns are ignored; an empty table gives an empty one. A very long text is one row whose words and windows
+    are arrays of 8 to 24 bytes an element, so it takes about 100 bytes for each of its words.
     """
     rows = with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).drop("text")
     rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
