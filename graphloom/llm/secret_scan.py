@@ -78,13 +78,15 @@ def suspicious(text: str) -> bool:
     return best_entropy(text) >= bits
 
 
-def _left(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """The stretches of start to end that no base span covers; ``base`` is sorted."""
-    for a, b, _ in base:
-        if a < end and start < b:
+def _left(start: int, end: int, base: list[tuple[int, int, int]], at: int = 0) -> Iterator[tuple[int, int]]:
+    """The stretches of start to end that no base span from number ``at`` on covers; ``base`` is sorted."""
+    while at < len(base) and base[at][0] < end and start < end:
+        a, b, _ = base[at]
+        if start < b:
             if start < a:
                 yield start, a
             start = b
+        at += 1
     if start < end:
         yield start, end
 
@@ -106,9 +108,11 @@ def spans(text: str, entropy: bool = True) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if entropy:
-        base = sorted(out)
-        for m in CANDIDATE.finditer(text):
-            out += [(a, b, 3) for a, b in _left(m.start(), m.end(), base) if b - a >= WINDOW and suspicious(_unglued(text[a:b], a > m.start(), b < m.end()))]
+        base, at = sorted(out), 0
+        for m in CANDIDATE.finditer(text):  # spans that end before a candidate end before all later ones
+            while at < len(base) and base[at][1] <= m.start():
+                at += 1
+            out += [(a, b, 3) for a, b in _left(m.start(), m.end(), base, at) if b - a >= WINDOW and suspicious(_unglued(text[a:b], a > m.start(), b < m.end()))]
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
@@ -134,7 +138,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     characters, in what base spans leave of a run of them, of which some window of 20 characters reaches the entropy asked of
     the string's character class, and which the allow-list (words, numbers, UUIDs, paths, repeats) does
     not excuse. There is no shuffle. Null and empty texts have no spans; rows that repeat and rows with
-    a null id each give a row; other columns are ignored; an empty table gives an empty one.
+    a null id each give a row; other columns are ignored; an empty table gives an empty one. A very long text is scanned
+    whole, in steps of its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``mark``; the column of lengths follows. Null texts stay null."""
+    """``docs`` with every secret in ``text_col`` replaced by ``mark``; the column of lengths follows.
+
+    Null texts stay null; empty texts, repeated rows and an empty table come out as they are; all other columns stay.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
