@@ -14,7 +14,7 @@ document is read by unpacking only the blocks that it touches.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -62,24 +62,42 @@ def file_bytes(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: i
 
 
 class TokenFile:
-    """Reads one file from its bytes; ``document`` touches only the blocks of that document."""
+    """One file: its header is held, and ``read`` and ``document`` fetch only the blocks that they touch.
 
-    def __init__(self, data: bytes):
-        head = np.frombuffer(data, _HEAD, 1)[0]
+    From the file's bytes, or by ``at`` from a store, where each fetch is a seek.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self.fetch = data if callable(data) else lambda a, b: memoryview(data)[a:b]
+        head = np.frombuffer(self.fetch(0, _HEAD.itemsize), _HEAD, 1)[0]
         if head["magic"].ljust(8, b"\0") != MAGIC:
             raise ValueError("not a token file")
-        self.data, self.bits, self.block, self.n_ids = memoryview(data), int(head["bits"]), int(head["block"]), int(head["ids"])
-        at, docs = _HEAD.itemsize, int(head["docs"])
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.before = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
-        self.offsets = np.frombuffer(data, "<u8", int(head["blocks"]) + 1, at + 16 * docs + 8).astype(np.int64)
+        self.bits, self.block, self.n_ids = int(head["bits"]), int(head["block"]), int(head["ids"])
+        docs, blocks = int(head["docs"]), int(head["blocks"])
+        rest = self.fetch(_HEAD.itemsize, _HEAD.itemsize + 8 * (2 * docs + blocks + 2))
+        self.doc_ids = np.frombuffer(rest, "<i8", docs)
+        self.before = np.frombuffer(rest, "<u8", docs + 1, 8 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(rest, "<u8", blocks + 1, 16 * docs + 8).astype(np.int64)
+
+    @classmethod
+    def at(cls, folder: str, name: str) -> TokenFile:
+        store, path = _store(folder)
+        file = store.open_input_file(f"{path}/{name}")
+
+        def fetch(a: int, b: int) -> bytes:
+            file.seek(a)
+            return file.read(b - a)
+
+        return cls(fetch)
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids from ``start`` to ``end`` of the file."""
         if start >= end:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (end - 1) // self.block
-        parts = [unpack(self.data[self.offsets[k] : self.offsets[k + 1]], self.bits, min(self.block, self.n_ids - k * self.block)) for k in range(first, last + 1)]
+        cuts = (self.offsets[first : last + 2] - self.offsets[first]).tolist()
+        data = self.fetch(int(self.offsets[first]), int(self.offsets[last + 1]))
+        parts = [unpack(data[cuts[k - first] : cuts[k - first + 1]], self.bits, min(self.block, self.n_ids - k * self.block)) for k in range(first, last + 1)]
         return np.concatenate(parts)[start - first * self.block : end - first * self.block]
 
     def document(self, k: int) -> np.ndarray:
@@ -99,12 +117,6 @@ def _put(folder: str, name: str, data: bytes) -> None:
     store.move(spare, f"{at}/{name}")
 
 
-def _get(folder: str, name: str) -> bytes:
-    store, at = _store(folder)
-    with store.open_input_stream(f"{at}/{name}") as file:
-        return file.read()
-
-
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -137,7 +149,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = Non
     Rows are dealt by ranges of their id and sorted inside, each task writes the files of its range, and
     names ascend with the ranges. ``folder`` is a path or URI that all executors share. Returns one row
     for each file: ``file``, ``n_docs``, ``n_ids`` and ``start``, the ids in all files before it. Null
-    texts are empty; null ids come last; repeated ids stand next to each other, by text.
+    texts are empty; null ids come last, in one range; repeated ids stand next to each other, by text. An empty table
+    writes no file; other columns are ignored. A very long text is encoded whole; a file ends after the document that fills it.
     """
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
@@ -154,7 +167,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, start in zip(part["file"], part["start"], strict=True):
-                file = TokenFile(_get(folder, name))
+                file = TokenFile.at(folder, name)
                 for at in range(0, len(file.doc_ids), 1024):
                     docs = range(at, min(at + 1024, len(file.doc_ids)))
                     counts = np.diff(file.before[at : docs.stop + 1])
