@@ -64,15 +64,6 @@ class Graph:
     def node_count(self) -> int:
         return self.vertices.count()
 
-    # replicas that a partition adds to its part of the graph
-    def with_masters(self, masters: DataFrame) -> Graph:
-        """Adds the vertices of ``masters`` (``id``, and more), which this part owns."""
-        return self.with_vertices(masters)
-
-    def with_mirrors(self, mirrors: DataFrame) -> Graph:
-        """Adds the vertices of ``mirrors`` (``id``, ``master_part``, and more), which other parts own."""
-        return self.with_vertices(mirrors)
-
     # degrees and adjacency
     def out_degree(self) -> DataFrame:
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))

@@ -1,7 +1,7 @@
 """Subgraph-centric shortest paths: each partition runs to its own fixpoint before values are exchanged.
 
 Worth it where paths are long and partitions follow them: rounds then count crossings of partitions, not
-edges. A partition's edges must fit a task, so choose enough partitions. The answer is that of ``sssp``.
+edges. A partition's edges must fit a task, so too few partitions are refused. The answer is that of ``sssp``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from .recovery import cut
 from .supersteps import Metrics, relax, settle
 
 
+#: Edges that one task holds, about 200 bytes each.
+MOST_EDGES = 4_000_000
+
+
 def _settle_part(key: tuple, edges: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
     """Dijkstra's search inside one partition from all values known there; what improved."""
     targets: dict[int, list[tuple[int, float]]] = {}
@@ -42,6 +46,9 @@ def _settle_part(key: tuple, edges: pd.DataFrame, values: pd.DataFrame) -> pd.Da
 def sssp_by_parts(graph: Graph, source: int, k: int, metrics: Metrics | None = None) -> DataFrame:
     """``id`` and ``dist`` as ``sssp`` gives them, over ``k`` partitions of the edges."""
     placed = cut(placed_edges(graph, k))
+    largest = placed.groupBy("part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    if largest > MOST_EDGES:
+        raise ValueError(f"a partition has {largest} edges, more than {MOST_EDGES}: take more than {k} partitions")
     where = cut(placed.select(F.col("part").alias("at"), F.explode(F.array("src", "dst")).alias("id")).distinct())
     start = graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("changed"))
 

@@ -48,6 +48,20 @@ def mirrors(placed: DataFrame) -> DataFrame:
     return replicas(placed).where("part <> master_part")
 
 
+def with_replicas(known: DataFrame, new: DataFrame) -> DataFrame:
+    """``masters`` or ``mirrors`` with rows added; a row of ``new`` takes the place of the one that its part has of the vertex.
+
+    Replicas do not make vertices: a vertex that only a mirror names is not in the graph.
+    """
+    new = new.select(known.columns)
+    return known.join(new.select("part", "id"), ["part", "id"], "left_anti").select(known.columns).union(new)
+
+
+def without_replicas(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """``masters`` or ``mirrors`` without those of ``ids``, as when vertices are removed."""
+    return known.join(ids.select("id").distinct(), "id", "left_anti").select(known.columns)
+
+
 def replication_factor(placed: DataFrame) -> DataFrame:
     """One row: vertices, replicas and replicas to a vertex."""
     return replicas(placed).agg(F.countDistinct("id").alias("n_vertices"), F.count(F.lit(1)).alias("n_replicas")).select("n_vertices", "n_replicas", (F.col("n_replicas") / F.col("n_vertices")).alias("factor"))

@@ -194,6 +194,26 @@ def vertex_cut_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.mirrors(_placed(spark, sf_dir))
 
 
+@query(_with(_PLACED, _REPLICAS) + """SELECT part, id, CASE WHEN id % 5 = 0 THEN 9 ELSE master_part END AS master_part FROM r WHERE part <> master_part AND id % 7 <> 0
+    UNION ALL SELECT DISTINCT 8, id, 9 FROM r WHERE id % 5 = 0 AND id % 7 <> 0""")
+def mirrors_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrors of some vertices get another master, new ones are added, and those of removed vertices go."""
+    known = cut(partitioning.mirrors(_placed(spark, sf_dir)))
+    moved = known.where("id % 5 = 0").select("part", "id", F.lit(9).alias("master_part"))
+    vertices = _parts(spark, sf_dir).vertices
+    added = vertices.where("id % 5 = 0").select(F.lit(8).alias("part"), "id", F.lit(9).alias("master_part"))
+    return partitioning.without_replicas(partitioning.with_replicas(known, moved.union(added)), vertices.where("id % 7 = 0"))
+
+
+@query(_with(_PLACED, _REPLICAS) + """SELECT master_part AS part, id, CASE WHEN id % 5 = 0 THEN '7' ELSE coalesce(string_agg(part::VARCHAR, ' ' ORDER BY part) FILTER (part <> master_part), '') END AS mirror_parts
+    FROM r WHERE id % 7 <> 0 GROUP BY master_part, id""")
+def masters_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = cut(partitioning.masters(_placed(spark, sf_dir)))
+    moved = known.where("id % 5 = 0").select("part", "id", F.array(F.lit(7)).alias("mirror_parts"))
+    rows = partitioning.without_replicas(partitioning.with_replicas(known, moved), known.where("id % 7 = 0"))
+    return rows.select("part", "id", F.array_join(F.col("mirror_parts").cast("array<string>"), " ").alias("mirror_parts"))
+
+
 @query(_with(_PLACED, _REPLICAS) + "SELECT count(DISTINCT id) AS n_vertices, count(*) AS n_replicas, count(*) / count(DISTINCT id)::DOUBLE AS factor FROM r")
 def replication_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.replication_factor(_placed(spark, sf_dir))

@@ -1,7 +1,8 @@
-"""Compares a query with its SQL run by DuckDB: same columns and the same rows, in any order."""
+"""Compares a query with its SQL run by DuckDB: same columns and the same rows, in any order; doubles to nine digits."""
 
 from __future__ import annotations
 
+import math
 import os
 
 import duckdb
@@ -24,10 +25,11 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     names = sorted(got.columns)
     if names != sorted(rel.columns):
         return f"columns {names} and {sorted(rel.columns)}"
-    key = lambda r: tuple((x is None, str(x)) for x in r)
+    key = lambda r: (*[(x is None, str(x)) for x in r if not isinstance(x, float)], *[f"{x:.5g}" for x in r if isinstance(x, float)])
+    same = lambda x, y: x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9))
     a = sorted((tuple(r[n] for n in names) for r in got.collect()), key=key)
     b = sorted((tuple(r[rel.columns.index(n)] for n in names) for r in rel.fetchall()), key=key)
     if len(a) != len(b):
         return f"{len(a)} rows and {len(b)}"
-    bad = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+    bad = [(x, y) for x, y in zip(a, b, strict=True) if not all(map(same, x, y))]
     return f"{len(bad)} rows differ: {bad[:3]}" if bad else ""

@@ -249,6 +249,25 @@ def test_arrivals(spark, tmp_path):
     assert rows(keep.result(spark), "id", "dist") == [(1, 0.0), (2, 1.0), (3, 1.0), (4, 2.0), (5, 3.0)]
 
 
+def test_arrivals_go_on_after_a_restart(spark, tmp_path):
+    """A batch that runs twice, and a new object on the same folder, change nothing."""
+    parts = [spark.createDataFrame(x, "src long, dst long") for x in (EDGES[:4], EDGES[4:8], EDGES[8:])]
+    first = arrivals.maintained_sssp(1, f"{tmp_path}/state")
+    first.take(parts[0], 0)
+    first.take(parts[1], 1)
+    first.take(parts[1], 1)
+    again = arrivals.maintained_sssp(1, f"{tmp_path}/state")
+    again.take(parts[1], 1)
+    again.take(parts[2], 2)
+    assert rows(again.result(spark), "id", "dist") == rows(first.result(spark), "id", "dist") == [(1, 0.0), (2, 1.0), (3, 1.0), (4, 2.0), (5, 3.0)]
+
+
+def test_partitions_that_fit_no_task_are_refused(graph, monkeypatch):
+    monkeypatch.setattr(local_fixpoint, "MOST_EDGES", 3)
+    with pytest.raises(ValueError, match="take more than 1"):
+        local_fixpoint.sssp_by_parts(graph, 1, 1)
+
+
 def test_empty_graph(spark):
     empty = Graph.from_edges(spark.createDataFrame([], "src long, dst long"))
     assert rows(shortest_paths.sssp(empty, 1), "id") == [] and rows(labels.connected_components(empty), "id") == [] and rows(pagerank.pagerank(empty), "id") == []
