@@ -1,4 +1,9 @@
-"""Least-label propagation and connected components."""
+"""Least-label propagation and connected components.
+
+A round takes the least label among the neighbours that have changed, and then that label's own label: what reaches
+the label's vertex reaches all that have the label. So the rounds grow with the logarithm of the longest path, not with
+the path. A label is looked up once, however many vertices have it.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +17,7 @@ from .supersteps import Metrics, relax, settle
 
 def min_label(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
     """``id`` and ``label``: the least id that reaches the vertex along edges, itself included."""
-    start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
-    return _spread(graph.edges.select("src", "dst"), start, metrics)
+    return _spread(graph.edges.select("src", "dst"), _own(graph), metrics)
 
 
 def min_label_continue(graph: Graph, state: DataFrame, messages: DataFrame, metrics: Metrics | None = None) -> DataFrame:
@@ -21,27 +25,18 @@ def min_label_continue(graph: Graph, state: DataFrame, messages: DataFrame, metr
     return _spread(graph.edges.select("src", "dst"), relax(state, messages, "label"), metrics)
 
 
-def _spread(edges: DataFrame, start: DataFrame, metrics: Metrics | None) -> DataFrame:
-    laid = ByKey(edges, "src")
-
-    def step(state: DataFrame) -> DataFrame:
-        frontier = state.where("changed").select(F.col("id").alias("src"), "label")
-        return relax(state, laid.join(frontier).select(F.col("dst").alias("id"), "label"), "label")
+def connected_components(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
+    """``id`` and ``label``: the least id of the component when edges are taken in both directions."""
+    edges = graph.edges.select("src", "dst")
+    return _spread(cut(edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()), _own(graph), metrics)
 
-    out = settle(start, step, metrics).select("id", "label")
-    laid.release()
-    return out
 
+def _own(graph: Graph) -> DataFrame:
+    return graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
 
-def connected_components(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
-    """``id`` and ``label``: the least id of the component when edges are taken in both directions.
 
-    Each round takes the least label among the neighbours that have changed and then that label's own label, so the
-    rounds grow with the logarithm of the longest path, not with the path. Labels are looked up once each, however many vertices have them.
-    """
-    edges = graph.edges.select("src", "dst")
-    laid = ByKey(cut(edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()), "src")
-    start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
+def _spread(edges: DataFrame, start: DataFrame, metrics: Metrics | None) -> DataFrame:
+    laid = ByKey(edges, "src")
 
     def step(state: DataFrame) -> DataFrame:
         near = laid.join(state.where("changed").select(F.col("id").alias("src"), "label")).select(F.col("dst").alias("id"), "label")
@@ -50,7 +45,7 @@ def connected_components(graph: Graph, metrics: Metrics | None = None) -> DataFr
         used = new.select("label").distinct()
         tops = state.where("label < id").select(F.col("id").alias("label"), F.col("label").alias("top")).join(used, "label")
         least = F.least("label", F.coalesce("top", "label"))
-        return new.join(tops, "label", "left").select("id", least.alias("label"), (least < F.col("old")).alias("changed"))
+        return new.join(tops, "label", "left").select("id", least.alias("label"), (F.col("old").isNull() | (least < F.col("old"))).alias("changed"))
 
     out = settle(start, step, metrics).select("id", "label")
     laid.release()
