@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, shared_dir
 
-__all__ = ["NO_ID", "U64", "cut", "id_and_text", "id_array", "ids_of", "mixed", "partitions", "release", "shared_dir", "slices", "utf8"]
+__all__ = ["NO_ID", "U64", "cut", "id_and_text", "id_array", "ids_of", "mixed", "partitions", "release", "remove", "shared_dir", "slices", "utf8"]
 
 #: Stands for a null id where ids are held as 64-bit integers.
 NO_ID = np.iinfo(np.int64).max
@@ -30,6 +30,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, whatever else the table has: the id as long and the text, a null text being empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

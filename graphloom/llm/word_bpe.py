@@ -38,7 +38,7 @@ def _chars(kind: str) -> str:
 _LETTERS, _NUMBERS = "a-zA-Z" + _chars("L"), "0-9" + _chars("N")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 #: Words held by each encoder, about 200 bytes each; characters above which a word is never held.
-CACHED, HELD = 800_000, 256
+CACHED, HELD = 300_000, 256
 #: Symbols above which a word is merged by itself, and cells (words x symbols of the longest) of words merged together.
 LONG, CELLS = 96, 1 << 20
 _NONE = np.iinfo(np.int64).max
@@ -145,7 +145,8 @@ class SpeculativeCodec(Codec):
         self.final = {t[: len(t) - len(end)]: i for t, i in self.vocab.items() if t.endswith(end)}
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(end)}
         self.longest, self.longest_final = max(map(len, self.inner)), max(map(len, self.final))
-        self.spelled = {i: self.letters(t) for t, i in self.vocab.items()}
+        self.names = {i: t for t, i in self.vocab.items()}
+        self.merges = []  # held as ranks and results
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.counts = {"words": 0, "merged": 0}
 
@@ -228,6 +229,10 @@ class SpeculativeCodec(Codec):
         text = [*token[: -len(end) - 1], token[-len(end) - 1 :]] if token.endswith(end) and len(token) > len(end) else list(token)
         return [self.vocab[x] for x in text]
 
+    def start(self, word: str) -> list[int]:
+        """The ids that merging starts from: one for each byte symbol, the last with the word end."""
+        return [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.suffix]]
+
     def propose(self, word: str) -> list[int]:
         out, at, n, final, inner, longest = [], 0, len(word), self.final, self.inner, self.longest
         while at < n:
@@ -249,7 +254,7 @@ class SpeculativeCodec(Codec):
         new = asked[~np.isin(asked, self.pairs, assume_unique=True)]
         if len(new):
             asked_ids = [[key >> 32, *([(key & 0xFFFFFFFF) - 1] if key & 0xFFFFFFFF else [])] for key in new.tolist()]
-            merged = self.merge([[i for t in ids for i in self.spelled[t]] for ids in asked_ids])
+            merged = self.merge([[i for t in ids for i in self.letters(self.names[t])] for ids in asked_ids])
             fits = [a == b for a, b in zip(asked_ids, merged, strict=True)]
             pairs, fit = np.concatenate([self.pairs, new]), np.concatenate([self.fits, np.array(fits)])
             order = np.argsort(pairs)
@@ -260,8 +265,13 @@ class SpeculativeCodec(Codec):
         return self.fits[np.searchsorted(self.pairs, asked)][back]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of more than ``LONG`` symbols, where some pair fails nearly always, are merged without a proposal."""
         if not words:
             return []
+        if long := [k for k, w in enumerate(words) if len(w) > LONG]:
+            merged = iter(self.merge([self.start(words[k]) for k in long]))
+            rest = iter(self.encode_words([w for w in words if len(w) <= LONG]))
+            return [np.array(next(merged), "<u4").tobytes() if len(w) > LONG else next(rest) for w in words]
         proposed = [self.propose(w) for w in words]
         sizes = np.array([len(p) for p in proposed])
         flat = np.array([i for p in proposed for i in p], dtype=np.int64)
@@ -280,8 +290,7 @@ class SpeculativeCodec(Codec):
         whole = flat.astype("<u4").tobytes()
         out = [whole[4 * at : 4 * (at + size)] for at, size in zip(starts.tolist(), sizes.tolist(), strict=True)]
         failed = np.flatnonzero(~good).tolist()
-        last = self.suffix
-        for k, ids in zip(failed, self.merge([[*map(self.vocab.__getitem__, words[k][:-1]), self.vocab[words[k][-1] + last]] for k in failed]), strict=True):
+        for k, ids in zip(failed, self.merge([self.start(words[k]) for k in failed]), strict=True):
             out[k] = np.array(ids, dtype="<u4").tobytes()
         return out
 

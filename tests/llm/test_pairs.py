@@ -51,23 +51,72 @@ def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.dedup(empty, texts=False).collect() == []
 
 
-def test_run_index_on_random_strings():
-    rng = random.Random(1)
-    for _ in range(30):
-        base = [bytes(rng.choices(b"ab\x00\xff", k=rng.randint(50, 109))) for _ in range(rng.randint(1, 9))]
-        strings = list(dict.fromkeys([*base, *((b[rng.randint(0, 9) :] + b"ab" * 40)[: rng.randint(50, 109)] for b in base for _ in range(3))]))
-        owners = np.array([rng.randrange(9) for _ in strings])
-        for s, found in zip(strings, suffix_dedup.least_owners(strings, owners), strict=True):
-            assert found.tolist() == [min(o for t, o in zip(strings, owners.tolist(), strict=True) if s[k : k + 50] in t) for k in range(len(s) - 49)]
-
-
-def test_run_index_finds_longest_matches():
-    strings = [b"abracadabra" * 6, b"abracadabra" * 5 + b"x" * 11, bytes(range(60, 120))]
-    index = suffix_dedup.RunIndex(strings, np.arange(3))
-    for here, size, at in index.statistics():
-        assert (size == index.ends[np.searchsorted(index.ends, here)] - here).all()  # every string is in the index
-        for h, n, a in zip(here, size, at, strict=True):
-            assert (index.symbols[h : h + n] == index.symbols[a : a + n]).all()
+def random_strings(rng, alphabet=b"ab\x00\xff"):
+    base = [bytes(rng.choices(alphabet, k=rng.randint(50, 109))) for _ in range(rng.randint(1, 9))]
+    return list(dict.fromkeys([*base, *((b[rng.randint(0, 9) :] + b"ab" * 40)[: rng.randint(50, 109)] for b in base for _ in range(4))]))
+
+
+def earlier_by_definition(strings, owners, groups):
+    return [[any(g == h and p < o and s[k : k + 50] in t for t, p, h in zip(strings, owners, groups, strict=True)) for k in range(len(s) - 49)] for s, o, g in zip(strings, owners, groups, strict=True)]
+
+
+def test_windows_of_earlier_strings():
+    rng, hits = random.Random(1), 0
+    for _ in range(60):
+        strings = random_strings(rng)
+        owners, groups = [rng.randrange(9) for _ in strings], [rng.randrange(3) for _ in strings]
+        found = [x.tolist() for x in suffix_dedup.earlier(strings, np.array(owners), np.array(groups))]
+        assert found == earlier_by_definition(strings, owners, groups)
+        hits += sum(map(sum, found))
+    assert hits > 1000
+
+
+def test_matching_statistics_are_the_longest_matches():
+    """Strings that are not indexed, streamed through the index of their node."""
+    rng = random.Random(2)
+    for _ in range(20):
+        strings = random_strings(rng, b"abc")
+        text, node, chosen = suffix_dedup.Strings(strings), np.array([rng.randrange(2) for _ in strings]), np.array([rng.random() < 0.6 for _ in strings])
+        asking = np.flatnonzero(~chosen & np.isin(node, node[chosen]))
+        if not chosen.any() or not len(asking):
+            continue
+        steps = list(suffix_dedup.RunIndex(text, chosen, node).statistics(asking, node))
+        assert sum(len(here) for here, _, _ in steps) == sum(len(strings[k]) for k in asking.tolist())
+        for here, size, at in steps:
+            for h, n, a in zip(here.tolist(), size.tolist(), at.tolist(), strict=True):
+                k = int(text.string[h])
+                rest = strings[k][h - int(text.starts[k]) :]
+                indexed = [s for s, c, m in zip(strings, chosen, node, strict=True) if c and m == node[k]]
+                assert n == max(m for m in range(len(rest) + 1) if any(rest[:m] in s for s in indexed))
+                assert not n or (chosen[text.string[a]] and node[text.string[a]] == node[k] and (text.codes[h : h + n] == text.codes[a : a + n]).all())
+
+
+def test_result_rests_on_matching_statistics(docs, texts, monkeypatch):
+    """Without them, only pieces that are the same as a whole are found."""
+    right = Counter((r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup(docs, texts=False).collect())
+    strings = [b"x" * 10 + bytes(range(60, 120)), bytes(range(60, 120)) + b"y" * 10]
+    found = suffix_dedup.earlier(strings, np.array([1, 2]), np.array([0, 0]))
+    assert found[1].sum() == 11 and not found[0].any()
+    monkeypatch.setattr(suffix_dedup.RunIndex, "statistics", lambda self, strings, node, least: iter(()))
+    assert not any(x.any() for x in suffix_dedup.earlier(strings, np.array([1, 2]), np.array([0, 0])))
+    assert sum(n for (_, n), c in right.items() for _ in range(c)) == sum(int(mask.sum()) for _, mask in removed(texts).values())
+
+
+def test_index_follows_runs_and_not_text():
+    """Copies of one text with a change each: ten times the copies, hardly more runs."""
+    rng = random.Random(3)
+    base = bytes(rng.choices(b"abcdefghij ", k=100))
+
+    def size(copies):
+        strings = [base[:k] + b"#" + base[k + 1 :] for k in (rng.randrange(100) for _ in range(copies))]
+        text = suffix_dedup.Strings(strings)
+        index = suffix_dedup.RunIndex(text, np.ones(len(strings), bool), np.zeros(len(strings), np.int64))
+        held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+        assert held < 80 * len(index.head)
+        return len(index.head), len(text.codes)
+
+    (few, short), (many, long) = size(100), size(1000)
+    assert long == 10 * short and many < 7 * few and many < long / 30
 
 
 def shingles(text, n=4):

@@ -36,6 +36,18 @@ def test_codecs_on_random_text(tokenizer, library, codec):
         assert c.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_very_long_words(tokenizer, library):
+    """A word of a hundred thousand letters beside ordinary ones; long words are merged one by one and not kept."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aeioustnrl", k=rng.randint(2, 12))) for _ in range(2000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "x" * 50_000 + " é" + "ñ" * 5000, "abc" * 40 + " " + "th" * 48]
+    c = word_bpe.SpeculativeCodec(tokenizer)
+    for text, ids in zip(texts, c.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, c.words)) <= word_bpe.HELD
+    words = [[c.vocab[x] for x in rng.choices("abcdeiou", k=rng.randint(1, 300))] for _ in range(200)]
+    assert c.merge(words) == [c.merge_long(w) for w in words]
+
+
 def test_words_are_forgotten_when_there_are_too_many(tokenizer, library, monkeypatch):
     monkeypatch.setattr(word_bpe, "CACHED", 5)
     c = word_bpe.SpeculativeCodec(tokenizer)
@@ -68,6 +80,8 @@ def test_token_files(spark, docs, texts, tokenizer, library, monkeypatch, tmp_pa
     names = sorted(p.name for p in (tmp_path / "tokens").iterdir())
     assert len(names) == files.count() and not any(n.startswith(".") for n in names)
     file = token_files.TokenFile((tmp_path / "tokens" / names[0]).read_bytes())
+    seeking = token_files.TokenFile.at(f"file://{tmp_path}/tokens", names[0])
+    assert all(np.array_equal(seeking.document(k), file.document(k)) for k in range(len(file.doc_ids)))
     assert file.bits == 16 and np.array_equal(np.concatenate([file.document(k) for k in range(len(file.doc_ids))]), file.read(0, file.n_ids))
 
 
