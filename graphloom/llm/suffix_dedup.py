@@ -70,8 +70,9 @@ class Pieces:
     """The pieces of a batch: windows whose anchor other documents have, as short strings, each content once.
 
     ``first`` and ``windows`` are of occurrences, ``of`` is the number of an occurrence's content;
-    ``content``, ``owner`` (least id), ``bucket`` and ``part`` of it are of contents. A hot anchor's windows are pieces
-    of their own, dealt by what they hold, so that no bucket gets all of a frequent string's surroundings.
+    ``content``, ``owner`` (least id), ``bucket``, ``part`` of it and ``group`` are of contents. Contents with one anchor are of
+    one group. A hot anchor's windows are pieces of their own, dealt and grouped by what they hold, so that no bucket
+    gets all of a frequent string's surroundings.
     """
 
     def __init__(self, docs: packs.Docs, answers: pd.DataFrame, buckets: int):
@@ -99,12 +100,12 @@ class Pieces:
         for c in np.flatnonzero(by_content).tolist():
             key[c] = xxhash.xxh3_64_intdigest(self.content[c])
         fine = packs.bucket_of(key, buckets * PARTS)
-        self.bucket, self.part = fine // PARTS, fine % PARTS
+        self.bucket, self.part, self.group = fine // PARTS, fine % PARTS, key.astype(np.uint32)
         self.order = np.argsort(fine, kind="stable")
 
 
-def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ranks of the suffixes of marked strings, and ranks by a first part of them of 25 to 50 symbols, and its size.
+def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of marked strings.
 
     ``codes`` has 0 for marks, ``left`` is the distance to the next mark and ``depth`` the longest string. Equal
     suffixes have equal ranks: the first place of their group. Prefix doubling, starting from as many
@@ -120,17 +121,13 @@ def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nd
         key = (key << bits) | np.where(left > k, padded[k : k + n], 0)
     key = np.sort((key << index) | np.arange(n))
     at, group = key & ((1 << index) - 1), key >> index
-    rank, size, windows = np.empty(n, np.int64), first, None
+    rank, size = np.empty(n, np.int64), first
     new = np.append(True, group[1:] != group[:-1])
     place = np.flatnonzero(new)
     rank[at] = np.repeat(place, np.diff(np.append(place, n)))
     single = new & np.append(new[1:], True)
     live = at[~single]
-    while True:
-        if 2 * size >= LENGTH >= size:
-            windows, part = rank.copy(), size
-        if size >= depth or not len(live):
-            return rank, windows if windows is not None else rank, part if windows is not None else LENGTH
+    while size < depth and len(live):
         inner = left[live] > size
         follow = np.zeros(len(live), np.int64)
         follow[inner] = rank[live[inner] + size] + 1
@@ -151,17 +148,18 @@ def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nd
         rank[live] = old + np.repeat(place, np.diff(np.append(place, m))) - begin
         live = live[~(new & np.append(new[1:], True))]
         size *= 2
+    return rank
 
 
-class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of strings, with suffix positions sampled at both ends of each run.
+class Strings:
+    """Strings in one text, each followed by a mark below all bytes, and the order of its suffixes.
 
-    Strings are separated by a mark below all bytes; suffixes are sorted up to their mark and then by string.
+    Suffixes are sorted up to their mark and then by string, so the order among any of the strings is that of all.
     """
 
-    def __init__(self, strings: list[bytes], owners: np.ndarray):
+    def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) for s in strings], np.int64)
-        self.n = n = int(sizes.sum()) + len(strings)
+        n = int(sizes.sum()) + len(strings)
         text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
@@ -169,92 +167,161 @@ class RunIndex:
         used[text] = 1
         codes = np.cumsum(used)[text]  # 1 and up, in the order of bytes
         codes[self.ends] = 0
-        string = np.repeat(np.arange(len(strings)), sizes + 1)
-        left = self.ends[string] - np.arange(n)
-        self.symbols = np.append(codes, np.zeros(8, np.int64))
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
+        left = self.ends[self.string] - np.arange(n)
+        self.codes = codes.astype(np.int16)
         self.bits = max(1, int(codes.max()).bit_length())
         self.width = 63 // self.bits
-        self.packed = np.zeros(n + 128, np.int64)
+        self.symbol_of = np.append(self.width, self.width - 1 - np.arange(63) // self.bits)  # by the highest bit, from 1; 0: none
+        self.packed = np.zeros(n + 128, np.int64)  # as many symbols from each position as fit a word
         padded = np.append(codes, np.zeros(self.width, np.int64))
         for k in range(self.width):
             self.packed[:n] = (self.packed[:n] << self.bits) | np.where(left > k, padded[k : k + n], 0)
-        rank, windows, part = suffix_ranks(codes, left, int(sizes.max()))
-        # equal suffixes stand in the order of their strings
-        ordered = np.sort((rank << 32) | np.arange(n))
-        suffixes = ordered & 0xFFFFFFFF
-
-        bwt = codes[suffixes - 1]
-        heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
-        tails = np.append(heads[1:], n) - 1
-        jump = np.empty(n, np.int64)
-        jump[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
-        self.head, self.char, self.jump = heads, bwt[heads], jump[heads]
-        self.run = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, n)))
-        self.head_at, self.tail_at, self.tail = suffixes[heads], suffixes[tails], tails
-        self.by_char = np.argsort(self.char, kind="stable")
-        self.char_run = self.char[self.by_char] * len(heads) + self.by_char
-        self.origin = int(suffixes[0])
-
-        # the least owner among strings that hold the window at each position
-        inner = suffixes[left[suffixes] >= LENGTH]
-        self.least = np.full(n, NO_ID)
-        if len(inner):
-            a, b = windows[inner], windows[inner + LENGTH - part]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            groups = np.flatnonzero(new)
-            least = np.minimum.reduceat(owners[string[inner]], groups)
-            self.least[inner] = np.repeat(least, np.diff(np.append(groups, len(inner))))
+        rank = suffix_ranks(codes, left, int(sizes.max()))
+        self.suffixes = np.sort((rank << 32) | np.arange(n)) & 0xFFFFFFFF
 
     def agreed(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``a`` and ``b``, up to ``most``."""
-        out, live, k = np.minimum(most, 0), np.arange(len(a)), 0
-        while len(live):
-            x = self.packed[a[live] + k] ^ self.packed[b[live] + k]
-            same = np.full(len(live), self.width)
-            for j in range(self.width):  # the first symbol that differs
-                same[(x >> (self.bits * j)) & ((1 << self.bits) - 1) != 0] = self.width - 1 - j
-            out[live] = np.minimum(k + same, most[live])
+        out, live, k = most, None, 0
+        while True:
+            x = self.packed[a + k] ^ self.packed[b + k]
+            # the highest bit that differs, from the exponent of x without the bits that could carry; then its symbol
+            top = ((x & ~(x >> 1)).astype(float).view(np.int64) >> 52) - 1022
+            found = np.minimum(self.symbol_of[np.maximum(top, 0)] + k, most)
+            if live is None:
+                out = found
+            else:
+                out[live] = found
             k += self.width
-            live = live[(same == self.width) & (k < most[live])]
-        return out
+            more = np.flatnonzero((x == 0) & (most > k))
+            if not len(more):
+                return out
+            live = more if live is None else live[more]
+            a, b, most = a[more], b[more], most[more]
+
+
+class RunIndex:
+    """Run-compressed Burrows-Wheeler transforms of some of the strings, one for each ``node`` of strings.
+
+    Kept are only arrays with an element for each run: its first and last row, its symbol, where its first row jumps to,
+    the text positions sampled at both of its ends, and the runs in the order of their symbols; and the first row of each node.
+    """
 
-    def statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Stream all strings from their ends: (positions in the text, match lengths, positions of a match)."""
-        order = np.argsort(self.starts - self.ends, kind="stable")  # longest first
-        ends, sizes = self.ends[order], (self.ends - self.starts)[order]
-        row, at, size = np.zeros(len(order), np.int64), np.full(len(order), self.origin), np.zeros(len(order), np.int64)
-        runs = len(self.head)
-        for t in range(1, int(sizes[0]) + 1):
+    SYMBOLS = 512
+
+    def __init__(self, text: Strings, chosen: np.ndarray, node: np.ndarray):
+        """``chosen`` (flags) and ``node`` (numbers from 0) are of strings."""
+        self.text, of = text, text.string
+        rows = text.suffixes[chosen[of[text.suffixes]]]
+        nodes = node[of[rows]]
+        order = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[order], nodes[order]
+        n = len(rows)
+        key = nodes * self.SYMBOLS + text.codes[rows - 1]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.head, self.tail, self.key = heads, np.append(heads[1:], n) - 1, key[heads]
+        jump = np.empty(n, np.int64)
+        jump[np.argsort(key, kind="stable")] = np.arange(n)
+        self.jump = jump[heads]
+        self.head_at, self.tail_at = rows[self.head], rows[self.tail]
+        self.by_key = np.argsort(self.key, kind="stable")
+        self.key_run = self.key[self.by_key] * len(heads) + self.by_key
+        self.nodes, self.origin = np.unique(nodes, return_index=True)
+        self.origin_at = rows[self.origin]
+
+    def statistics(self, strings: np.ndarray, node: np.ndarray, least: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream ``strings`` (numbers) from their ends, each through the index of its ``node``.
+
+        Gives, step by step, positions, the length of the longest match that starts there and a position where it is.
+        With ``least``, a string is given up once its match ends before its first ``least`` symbols do: a match that
+        starts further left and is that long would go on past this end, and so would its part from here.
+        """
+        text, runs = self.text, len(self.head)
+        sizes = text.ends[strings] - text.starts[strings]
+        order = np.argsort(-sizes, kind="stable")  # longest first
+        strings, sizes = strings[order], sizes[order]
+        ends, base = text.ends[strings], node[strings] * self.SYMBOLS
+        home = np.searchsorted(self.nodes, node[strings])
+        home_row, home_at = self.origin[home], self.origin_at[home]
+        row, at, size = home_row, home_at, np.zeros(len(strings), np.int64)
+        begin = text.starts[strings] + least
+        for t in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
             live = int(np.searchsorted(-sizes, -t, side="right"))
-            row, at, size = row[:live], at[:live], size[:live]
+            if t % 4 == 0 and least:
+                kept = np.flatnonzero(ends[:live] - t + 1 + size[:live] >= begin[:live])
+                if len(kept) < 0.8 * live:
+                    live = len(kept)
+                    sizes, ends, base, begin, home_row, home_at, row, at, size = (x[kept] for x in (sizes, ends, base, begin, home_row, home_at, row, at, size))
+            if not live:
+                return
+            row, at, size = row[:live].copy(), at[:live].copy(), size[:live].copy()
             here = ends[:live] - t
-            c = self.symbols[here]
-            run = self.run[row]
-            miss = np.flatnonzero(self.char[run] != c)
+            key = base[:live] + text.codes[here]
+            run = np.searchsorted(self.head, row, side="right") - 1
+            miss = np.flatnonzero(self.key[run] != key)
+            none = miss[:0]
             if len(miss):
-                k = np.searchsorted(self.char_run, c[miss] * runs + run[miss])
-                up, down = np.maximum(k - 1, 0), np.minimum(k, runs - 1)
-                up_run, down_run = self.by_char[up], self.by_char[down]
-                has_up, has_down = (self.char[up_run] == c[miss]) & (k > 0), (self.char[down_run] == c[miss]) & (k < runs)
-                length_up = np.where(has_up, self.agreed(at[miss], self.tail_at[up_run], size[miss]), -1)
-                length_down = np.where(has_down, self.agreed(at[miss], self.head_at[down_run], size[miss]), -1)
+                k = np.searchsorted(self.key_run, key[miss] * runs + run[miss])
+                up_run, down_run = self.by_key[np.maximum(k - 1, 0)], self.by_key[np.minimum(k, runs - 1)]
+                has_up, has_down = (self.key[up_run] == key[miss]) & (k > 0), (self.key[down_run] == key[miss]) & (k < runs)
+                length_up = np.where(has_up, text.agreed(at[miss], self.tail_at[up_run], size[miss]), -1)
+                length_down = np.where(has_down, text.agreed(at[miss], self.head_at[down_run], size[miss]), -1)
                 take_up = length_up >= length_down
                 run[miss] = np.where(take_up, up_run, down_run)
                 row[miss] = np.where(take_up, self.tail[up_run], self.head[down_run])
                 at[miss] = np.where(take_up, self.tail_at[up_run], self.head_at[down_run])
                 size[miss] = np.maximum(length_up, length_down)
+                none = miss[~has_up & ~has_down]  # the symbol is nowhere in the node
             row, at, size = self.jump[run] + row - self.head[run], at - 1, size + 1
+            row[none], at[none], size[none] = home_row[none], home_at[none], 0
             yield here, size, at
 
 
-def least_owners(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each string, the least owner of any string that holds each of its windows."""
-    index = RunIndex(strings, owners)
-    found = np.full(index.n, NO_ID)
-    for here, size, at in index.statistics():
-        long = size >= LENGTH
-        found[here[long]] = index.least[at[long]]
-    return [found[a : b - LENGTH + 1] for a, b in zip(index.starts.tolist(), index.ends.tolist(), strict=True)]
+def earlier(strings: list[bytes], owners: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
+    """For each string and each of its windows, whether a string of a smaller owner in its group has the window.
+
+    The owners of a group are halved again and again; each time the strings of the lower halves are indexed and those
+    of the upper halves are streamed through, so every two owners meet in one step, and a match of ``LENGTH`` there is one in a
+    string of a smaller owner. Strings of which all windows are found need go no further, since who has them finds the
+    same earlier string.
+    """
+    order = np.lexsort((owners, groups))
+    g, o = groups[order], owners[order]
+    new_group = np.append(True, g[1:] != g[:-1])
+    number = np.cumsum(new_group) - 1
+    steps = np.cumsum(new_group | np.append(True, o[1:] != o[:-1])) - 1
+    rank, group = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
+    rank[order], group[order] = steps - steps[new_group][number], number
+    most = np.zeros(int(number[-1]) + 1, np.int64)
+    np.maximum.at(most, group, rank)
+    live = np.flatnonzero(most[group] > 0)
+    out = [np.zeros(len(s) - LENGTH + 1, bool) for s in strings]
+    if not len(live):
+        return out
+    text = Strings([strings[k] for k in live.tolist()])
+    rank, group = rank[live], group[live]
+    found = np.zeros(len(text.codes), bool)
+    open_ = text.ends - text.starts - LENGTH + 1  # windows not found yet
+    for level in range(int(rank.max()).bit_length()):
+        upper = (rank >> level) & 1 == 1
+        _, node = np.unique((group << 32) | (rank >> (level + 1)), return_inverse=True)
+        asking = upper & (open_ > 0)
+        known = ~upper & (open_ > 0)
+        both = np.zeros(int(node.max()) + 1, bool)
+        both[node[asking]] = True
+        known &= both[node]
+        both[:] = False
+        both[node[known]] = True
+        asking &= both[node]
+        if not asking.any():
+            continue
+        for here, size, _ in RunIndex(text, known, node).statistics(np.flatnonzero(asking), node, LENGTH):
+            found[here[size >= LENGTH]] = True
+        total = np.append(0, np.cumsum(found))
+        open_ = text.ends - text.starts - LENGTH + 1 - (total[text.ends] - total[text.starts])
+    for k, a, b in zip(live.tolist(), text.starts.tolist(), text.ends.tolist(), strict=True):
+        out[k] = found[a : b - LENGTH + 1]
+    return out
 
 
 def _send(buckets: int):
@@ -263,37 +330,40 @@ def _send(buckets: int):
         if len(docs) and len(answers):
             row = docs.iloc[0]
             pieces = Pieces(packs.opened(row["ids"], row["ends"], row["text"]), answers, buckets)
-            cuts, squeeze = np.searchsorted(pieces.bucket[pieces.order], np.arange(buckets + 1)), zstandard.ZstdCompressor(level=1)
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                some = pieces.order[cuts[k] : cuts[k + 1]]
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for k, a, b in zip(*packs.cut_by(pieces.bucket[pieces.order]), strict=True):
+                some = pieces.order[a:b]
                 content = [pieces.content[c] for c in some.tolist()]
-                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), pieces.part[some].astype(np.uint8).tobytes(), squeeze.compress(b"".join(content))))
-        return pd.DataFrame(out, columns=["bucket", "batch", "owners", "sizes", "parts", "content"])
+                out.append((k, key[0], pieces.owner[some].tobytes(), np.array([len(c) for c in content], np.int32).tobytes(), pieces.part[some].astype(np.uint8).tobytes(), pieces.group[some].tobytes(), squeeze.compress(b"".join(content))))
+        return pd.DataFrame(out, columns=["bucket", "batch", "owners", "sizes", "parts", "groups", "content"])
 
     return send
 
 
 def _index(part: pd.DataFrame) -> pd.DataFrame:
-    """Index the distinct pieces of a bucket, each part of it by itself, and answer every batch."""
+    """Index the distinct pieces of a bucket, each part of it by itself, and answer every batch.
+
+    For each of a batch's pieces the least id that has it whole, and a bit for each window that a piece of a smaller id has.
+    """
     seen: dict[bytes, int] = {}
-    rows, owners, places, expand = [], [], [], zstandard.ZstdDecompressor()
-    for held, sizes, where, packed in zip(part["owners"], part["sizes"], part["parts"], part["content"], strict=True):
+    rows, expand = [], zstandard.ZstdDecompressor()
+    for sizes, packed in zip(part["sizes"], part["content"], strict=True):
         content, ends = expand.decompress(packed), np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         rows.append(np.array([seen.setdefault(content[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
-        owners.append(np.frombuffer(held, np.int64))
-        places.append(np.frombuffer(where, np.uint8))
     contents, each = list(seen), np.concatenate(rows)
-    least, place = np.full(len(seen), NO_ID), np.zeros(len(seen), np.int64)
-    np.minimum.at(least, each, np.concatenate(owners))
-    place[each] = np.concatenate(places)
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
+    del seen
+    least, place, group = np.full(len(contents), NO_ID), np.zeros(len(contents), np.uint8), np.zeros(len(contents), np.int64)
+    np.minimum.at(least, each, np.frombuffer(b"".join(part["owners"]), np.int64))
+    place[each] = np.frombuffer(b"".join(part["parts"]), np.uint8)
+    group[each] = np.frombuffer(b"".join(part["groups"]), np.uint32)
+    found: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
     for k in np.unique(place).tolist():
         some = np.flatnonzero(place == k)
-        for c, x in zip(some.tolist(), least_owners([contents[c] for c in some.tolist()], least[some]), strict=True):
+        for c, x in zip(some.tolist(), earlier([contents[c] for c in some.tolist()], least[some], group[some]), strict=True):
             found[c] = x
     squeeze = zstandard.ZstdCompressor(level=1)
-    blobs = [squeeze.compress(np.concatenate([found[c] for c in row.tolist()]).tobytes()) for row in rows]
-    return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "least": blobs})
+    bits = [squeeze.compress(np.packbits(np.concatenate([found[c] for c in row.tolist()])).tobytes()) for row in rows]
+    return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "least": [squeeze.compress(least[row].tobytes()) for row in rows], "bits": bits})
 
 
 def _mark(buckets: int):
@@ -309,13 +379,19 @@ def _mark(buckets: int):
                 expand = zstandard.ZstdDecompressor()
                 least = np.concatenate([np.frombuffer(expand.decompress(x), np.int64) for x in told["least"]])
                 windows = np.array([len(c) - LENGTH + 1 for c in pieces.content], np.int64)[pieces.order]
-                begin = np.empty(len(windows), np.int64)
-                begin[pieces.order] = np.cumsum(windows) - windows
+                ends, bits, at_content = np.append(0, np.cumsum(windows)), [], 0
+                for packed, blob in zip(told["bits"], told["least"], strict=True):  # by bucket, as the pieces are ordered
+                    n = len(expand.decompress(blob)) // 8
+                    bits.append(np.unpackbits(np.frombuffer(expand.decompress(packed), np.uint8), count=int(ends[at_content + n] - ends[at_content])))
+                    at_content += n
+                bits = np.concatenate(bits).astype(bool)
+                begin, first_of = np.empty(len(windows), np.int64), np.empty(len(windows), np.int64)
+                begin[pieces.order], first_of[pieces.order] = ends[:-1], least
                 total = int(pieces.windows.sum())
                 k = np.arange(total) - np.repeat(np.cumsum(pieces.windows) - pieces.windows, pieces.windows)
-                position = np.repeat(pieces.first, pieces.windows) + k
-                owner = ids[np.searchsorted(at, position, side="right") - 1]
-                again = position[least[np.repeat(begin[pieces.of], pieces.windows) + k] < owner]
+                owner = ids[np.searchsorted(at, pieces.first, side="right") - 1]
+                whole = np.repeat(first_of[pieces.of] < owner, pieces.windows)
+                again = (np.repeat(pieces.first, pieces.windows) + k)[whole | bits[np.repeat(begin[pieces.of], pieces.windows) + k]]
                 np.add.at(gone, again, 1)
                 np.add.at(gone, again + LENGTH, -1)
             removed = np.cumsum(gone)[:-1] > 0
@@ -341,14 +417,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
        distinct anchors tells each batch which of its anchors other documents have; the rest of the text
        cannot match.
     2. Windows with such an anchor travel, as short pieces and each content once a batch, to the bucket of
-       their anchor; equal windows meet there. Each part of a bucket builds a run-compressed BWT with sampled
-       run ends over its distinct pieces, streams every piece through it for matching statistics, and where
-       the match has 50 bytes or more reads the least id that holds the window.
-    3. The answers return to the batches, which mark the bytes.
-
-    Buckets follow the amount of shared text; an anchor of very many documents is dealt window by window.
-    Null and empty texts have nothing to remove. Rows with one id do not match each other by it. A null id
-    counts as larger than all; an empty table gives an empty one; other columns are ignored.
+       their anchor; equal windows meet there, and of equal pieces the least id is known. Within an anchor's pieces those of smaller ids
+       are indexed, as a run-compressed BWT with sampled run ends, and those of larger ids are streamed through it for
+       matching statistics (see ``earlier``); a match of 50 bytes or more marks the window.
+    3. The answers, the least id of each piece and a bit for each window, return to the batches, which mark the bytes.
+
+    Buckets follow the amount of shared text; an anchor of very many documents is dealt window by window, and such
+    pieces of one window are the same or have nothing in common. Null and empty texts have nothing to remove. Rows with one
+    id do not match each other by it. A null id counts as larger than all; an empty table gives an empty one; other
+    columns are ignored. A very long text is a batch by itself: the tasks that hash and mark it hold about 40 bytes for each of its bytes.
     """
     packed = packs.pack(docs, id_col, text_col)
     flags = packs.shared_flags(packed, _anchors, packs.bucket_count(packed), HOT)
@@ -356,9 +433,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     n_shared = flags.agg(F.sum("n_shared")).first()[0] or 0
     buckets = max(1, -(-n_shared * (LENGTH + 18) // BUCKET))
     batches, empty = packed.drop("size"), F.lit(None).cast("binary")
-    sent = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_send(buckets), "bucket int, batch long, owners binary, sizes binary, parts binary, content binary")
-    told = sent.groupBy("bucket").applyInPandas(_index, "batch long, bucket int, least binary")
-    answers = flags.select("batch", "bucket", "n", "shared", "hot", empty.alias("least")).union(told.select("batch", "bucket", F.lit(0).alias("n"), empty.alias("shared"), empty.alias("hot"), "least"))
+    sent = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_send(buckets), "bucket int, batch long, owners binary, sizes binary, parts binary, groups binary, content binary")
+    told = sent.groupBy("bucket").applyInPandas(_index, "batch long, bucket int, least binary, bits binary")
+    answers = flags.select("batch", "bucket", "n", "shared", "hot", empty.alias("least"), empty.alias("bits")).union(told.select("batch", "bucket", F.lit(0).alias("n"), empty.alias("shared"), empty.alias("hot"), "least", "bits"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary, kept_sha256 string"
     mark = _mark(buckets)
     if not texts:
