@@ -57,10 +57,11 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The histogram of encoded lengths of all whole texts with its suffix sums (see ``suffix_sums``).
 
-    Null and empty texts count as documents of no tokens; repeated rows count each; a null id does not
-    matter; an empty table gives no rows; other columns are ignored.
+    The histogram, a row for each length, is written once, so texts are encoded once. Null and empty texts count
+    as documents of no tokens; repeated rows count each; a null id does not matter; an empty table gives no rows;
+    other columns are ignored. A very long text is encoded whole by the task that has it.
     """
-    return suffix_sums(histogram(lengths(docs, tokenizer, id_col, text_col)))
+    return suffix_sums(shared.cut(histogram(lengths(docs, tokenizer, id_col, text_col))))
 
 
 def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
