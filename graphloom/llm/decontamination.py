@@ -19,6 +19,8 @@ BROADCAST_ROWS = 200_000
 #: Upper sizes of the partitions of items by number of shingles.
 SIZES = (1, 2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 80, 100, 130, 170, 220, 300, 400, 550, 750, 1000)
 _SEED = 0x5851F42D4C957F2D
+#: Items that may have a shingle for it to be sketched before others.
+COMMON = 8
 
 
 def words(text: Column) -> Column:
@@ -47,17 +49,21 @@ def with_shingles(rows: DataFrame, text_col: str, out: str, hashed: bool = True)
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(``h``, ``item_id``): for each item the least of its shingles' min-hash values, as many as its size partition asks.
+    """(``h``, ``item_id``, ``n``): for each item the least of its shingles' min-hash values, as many as its size partition asks.
 
-    An item of n shingles that is contained misses at most floor((1 - t) n) of them, so the
-    floor((1 - t) N) + 1 smallest values, N being the upper size of the item's partition, hold at least
-    one that the document has: no contained item is lost.
+    An item of n shingles that is contained misses at most floor((1 - t) n) of them, so any
+    floor((1 - t) N) + 1 of its shingles, N being the upper size of the item's partition, hold at least
+    one that the document has: no contained item is lost. Shingles that more than ``COMMON`` items share stand
+    behind all others, so boilerplate of many items brings few candidates.
     """
     sized = items.withColumn("n", F.size("set")).where("n > 0")
+    shared_by = sized.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > COMMON).select("h", F.lit(True).alias("common"))
     upper = F.greatest(F.col("n"), F.coalesce(*[F.when(F.col("n") <= s, F.lit(s)) for s in SIZES], F.col("n")))
     keep = F.least(F.col("n"), F.floor(F.round(upper * (1 - threshold), 6)).cast("int") + 1)
-    ranked = F.array_sort(F.transform("set", lambda h: F.struct(F.xxhash64(h, F.lit(_SEED)).alias("rank"), h.alias("h"))))
-    return sized.select("item_id", "n", F.explode(F.slice(ranked, F.lit(1), keep)).alias("x")).select(F.col("x.h").alias("h"), "item_id", "n")
+    rows = sized.select("item_id", F.xxhash64("item_text").alias("t"), "n", keep.alias("keep"), F.explode("set").alias("h")).join(shared_by, "h", "left")
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("common", F.lit(False)).alias("common"), F.xxhash64("h", F.lit(_SEED)).alias("rank"), "h")))
+    rows = rows.groupBy("item_id", "t", "n", "keep").agg(ranked.alias("ranked"))
+    return rows.select("item_id", "n", F.explode(F.slice("ranked", F.lit(1), F.col("keep"))).alias("x")).select(F.col("x.h").alias("h"), "item_id", "n")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -66,12 +72,13 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     Items are partitioned by size and each is reduced to a min-hash sketch (see ``sketches``); the hashes
     of all shingles of every whole document probe the sketches, in a broadcast join when their counted
     rows are few and a shuffled one otherwise; candidates are verified on the shingles themselves.
-    Only candidates are shuffled: their ids, and their texts once.
+    Only candidates are shuffled: their ids with the shingles of their items, and their texts once.
 
     Returns ``doc_id``, ``item_id``, ``n_shared``, ``n_item`` and ``containment``, once for each pair of
     ids (repeated rows of a document count once; rows with one id and different texts are taken together
     with the larger overlap; a null id is an id like others). Null and empty texts, and texts without
-    letters or digits, contain nothing and are in nothing. Empty tables give an empty result.
+    letters or digits, contain nothing and are in nothing. Empty tables give an empty result; other columns are ignored.
+    A very long text is one row whose shingles are arrays, about 150 bytes for each of its words.
     """
     documents = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null").dropDuplicates()
@@ -82,18 +89,23 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     probes = with_shingles(documents, "text", "hashes").select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer("hashes").alias("h"))
     found = probes.join(F.broadcast(keys) if few_items else keys, "h")
     found = shared.cut(found.select("doc_id", "t", F.explode("items").alias("item_id") if few_items else F.col("item_id")).distinct())
-    candidates = found.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_set("item_id").alias("items"))
-    if found.count() <= BROADCAST_ROWS:
+    sets = with_shingles(bench, "item_text", "want", hashed=False).select("item_id", F.array_distinct("want").alias("want"))
+    wanted = found.join(F.broadcast(sets) if few_items else sets, "item_id")
+    candidates = wanted.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list(F.struct("item_id", "want")).alias("items"))
+    if found.count() <= BROADCAST_ROWS // 100:  # an item's shingles may be some kilobytes
         candidates = F.broadcast(candidates)
     pairs = documents.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("dt"))).select("doc_id", "text", "items")
-    pairs = with_shingles(pairs, "text", "have", hashed=False).select("doc_id", F.array_distinct("have").alias("have"), "items").select("doc_id", "have", F.explode("items").alias("item_id"))
-    sets = with_shingles(bench, "item_text", "want", hashed=False).select(F.col("item_id").alias("i"), F.array_distinct("want").alias("want"))
-    exact = pairs.join(F.broadcast(sets) if few_items else sets, F.col("item_id") == F.col("i")).select("doc_id", "item_id", F.size(F.array_intersect("want", "have")).cast("long").alias("n_shared"), F.size("want").cast("long").alias("n_item"))
+    pairs = with_shingles(pairs, "text", "have", hashed=False).select("doc_id", "items", F.array_distinct("have").alias("have"))
+    both = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(F.array_intersect(x["want"], F.col("have"))).cast("long").alias("n_shared"), F.size(x["want"]).cast("long").alias("n_item")))
+    exact = pairs.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.item_id", "x.n_shared", "x.n_item")
     exact = exact.where(F.col("n_shared") * 1000 >= F.col("n_item") * round(threshold * 1000))
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("x"))
     return best.select("doc_id", "item_id", "x.n_shared", "x.n_item", "x.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows with a null id stay."""
+    """``docs`` without the documents that contain an item.
+
+    Rows with a null id stay, and so do null and empty texts; repeated rows go or stay together; empty tables take nothing away; all columns stay.
+    """
     return docs.join(contained(docs, items, threshold).select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
