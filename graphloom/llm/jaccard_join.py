@@ -29,7 +29,7 @@ _STEP = U64(0x9E3779B97F4A7C15)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -116,7 +116,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in shared.slices(batches, 4096):
             x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
             yield part.select([0, 1]).filter(pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
@@ -125,7 +125,7 @@ def _verify(percent: int):
 
 def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, hashes as bytes, as an array of longs."""
-    for part in batches:
+    for part in shared.slices(batches, 4096):
         raw = part.column(part.num_columns - 1).to_pylist()
         at = np.append(0, np.cumsum([len(x) // 8 for x in raw])).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int64)))

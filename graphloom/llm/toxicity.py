@@ -21,7 +21,7 @@ GRAMS = (4, 5)
 #: Features whose counts are added up in one task; the place after the last feature counts the rows.
 BLOCK = 1 << 12
 #: Words held by the tables of word features.
-CACHED = 200_000
+CACHED = 100_000
 
 # Groups of identity terms; a term is swapped for the next of its group.
 IDENTITIES: tuple[tuple[str, ...], ...] = (
@@ -42,6 +42,10 @@ def word_features(word: str) -> set[int]:
     return {zlib.crc32(x.encode()) % BUCKETS for x in {marked, *(marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1))}}
 
 
+#: The chosen features of each row, as places among all chosen ones.
+Rows = Sequence[np.ndarray]
+
+
 @dataclass
 class Model:
     """Logistic regression over the presence of chosen features."""
@@ -76,17 +80,17 @@ def _texts(part: pd.DataFrame) -> Iterator[tuple[int, set[str]]]:
 
 def _frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All counts of a task that are not zero, in blocks of features; the least count is only for their sums."""
-    counts, known = np.zeros((2, BUCKETS + 1), np.int32), {}
+    counts, known, rows = np.zeros((2, BUCKETS + 1), np.int32), {}, np.array([BUCKETS], np.int32)
     for part in parts:
         for label, words in _texts(part):
-            found = {BUCKETS}
+            found = [rows]
             for w in words:
                 if (f := known.get(w)) is None:
-                    f = word_features(w)
+                    f = np.array(list(word_features(w)), np.int32)
                     if len(known) < CACHED:
                         known[w] = f
-                found |= f
-            counts[label, np.fromiter(found, np.int64, len(found))] += 1
+                found.append(f)
+            counts[label, np.unique(np.concatenate(found))] += 1
     at = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
     for of in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else ():
         yield pd.DataFrame({"block": [int(of[0]) // BLOCK], "at": [of.tobytes()], "counts": [counts[:, of].tobytes()]})
@@ -110,13 +114,13 @@ def chosen(positive: np.ndarray, negative: np.ndarray, p: int, n: int, least_z:
     return order[z[order] >= least_z]
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, l2: float, penalty: float, steps: int = 400, rate: float = 0.1) -> tuple[float, np.ndarray]:
+def fit_logistic(rows: Rows, labels: np.ndarray, pairs: tuple[Rows, Rows], width: int, l2: float, penalty: float, steps: int = 400, rate: float = 0.1) -> tuple[float, np.ndarray]:
     """Weights by Adam: log loss, plus l2 |w|^2 / 2, plus ``penalty`` times the mean squared change of the logit over pairs."""
     at, which = _sparse(rows)
-    difference = np.array([len(a) for a, _ in pairs] + [len(b) for _, b in pairs])
-    pair_at = np.array([f for a, _ in pairs for f in a] + [f for _, b in pairs for f in b], np.int64)
-    pair_of = np.repeat(np.tile(np.arange(len(pairs)), 2), difference) if len(pairs) else np.zeros(0, np.int64)
-    sign = np.repeat(np.repeat([1.0, -1.0], len(pairs)), difference) if len(pairs) else np.zeros(0)
+    n_pairs = len(pairs[0])
+    (one_at, one_of), (other_at, other_of) = _sparse(pairs[0]), _sparse(pairs[1])
+    pair_at, pair_of = np.concatenate([one_at, other_at]), np.concatenate([one_of, other_of])
+    sign = np.repeat([1.0, -1.0], [len(one_at), len(other_at)])
     y = labels.astype(float)
     w, bias = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -124,9 +128,9 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[li
         z = bias + np.bincount(which, w[at], len(y))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         g = np.bincount(at, error[which], width) + l2 * w
-        if len(pairs):
-            change = np.bincount(pair_of, sign * w[pair_at], len(pairs))
-            g += 2 * penalty / len(pairs) * np.bincount(pair_at, sign * change[pair_of], width)
+        if n_pairs:
+            change = np.bincount(pair_of, sign * w[pair_at], n_pairs)
+            g += 2 * penalty / n_pairs * np.bincount(pair_at, sign * change[pair_of], width)
         g = np.append(g, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -134,20 +138,22 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[li
     return float(bias), w
 
 
-def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def _sparse(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [len(r) for r in rows]
+    return np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
 
 
 def train(labelled: DataFrame, groups: Sequence[Sequence[str]] = IDENTITIES, penalty: float = 1.0, l2: float = 1e-4, least_z: float = 4.0, most_features: int = 4096) -> Model:
     """Fit on ``labelled`` (``text``, ``toxic`` of 0 or 1), which is small: see ``sample``.
 
-    Two passes count features by label and return each row's chosen features; the fit runs on the driver.
+    Two passes count features by label and return each row's chosen features, four bytes each; the fit runs on the driver.
     Counts are whole before any is left out, so the model does not depend on the number of partitions.
     Rows with identity terms also give their features with the terms swapped, and score changes between
     the two are penalised. Without rows of both labels the score is the smoothed share of label 1.
     """
     spark = labelled.sparkSession
-    spread = labelled.select("toxic", "text").repartition(shared.partitions(spark), F.xxhash64("text"))
+    of_row = F.col("doc_id") if "doc_id" in labelled.columns else F.xxhash64("text")
+    spread = labelled.select("toxic", "text", of_row.alias("of")).repartition(shared.partitions(spark), F.xxhash64("of"))
     counted = spread.mapInPandas(_frequencies, "block int, at binary, counts binary").groupBy("block").applyInPandas(_added, "at binary, counts binary").collect()
     counts = np.zeros((2, BUCKETS + 1), np.int64)
     for r in counted:  # a row for each block of features
@@ -160,20 +166,21 @@ def train(labelled: DataFrame, groups: Sequence[Sequence[str]] = IDENTITIES, pen
     features = chosen(counts[1], counts[0], int(rows[1]), int(rows[0]), least_z, most_features)
     probe = Model(0.0, dict.fromkeys(sorted({int(f) for f in features} | {f for t in swap for f in word_features(t) if counts[:, f].sum() >= 4}), 0.0), swap)
 
+    index = {f: k for k, f in enumerate(probe.weights)}
+
     def chosen_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = lambda words: np.array(sorted(index[f] for f in probe.features(words)), "<i4").tobytes()
         for part in parts:
             out = []
             for label, words in _texts(part):
                 terms = words & swap.keys()
-                other = sorted(probe.features((words - terms) | {swap[t] for t in terms})) if terms else None
-                out.append((label, sorted(probe.features(words)), other))
+                out.append((label, places(words), places((words - terms) | {swap[t] for t in terms}) if terms else None))
             yield pd.DataFrame(out, columns=["label", "found", "swapped"])
 
-    data = sorted((r["label"], list(r["found"]), list(r["swapped"]) if r["swapped"] is not None else None) for r in spread.mapInPandas(chosen_of, "label int, found array<long>, swapped array<long>").collect())
-    index = {f: k for k, f in enumerate(probe.weights)}
-    rows_at = [[index[f] for f in found] for _, found, _ in data]
-    pairs = [(rows_at[k], [index[f] for f in swapped]) for k, (_, _, swapped) in enumerate(data) if swapped is not None]
-    bias, weights = fit_logistic(rows_at, np.array([label for label, _, _ in data]), pairs, len(index), l2, penalty)
+    data = sorted(((r["label"], bytes(r["found"]), None if r["swapped"] is None else bytes(r["swapped"])) for r in spread.mapInPandas(chosen_of, "label int, found binary, swapped binary").collect()), key=lambda x: (x[0], x[1], x[2] is None, x[2] or b""))
+    rows_at = [np.frombuffer(found, "<i4") for _, found, _ in data]
+    pairs = [(rows_at[k], np.frombuffer(swapped, "<i4")) for k, (_, _, swapped) in enumerate(data) if swapped is not None]
+    bias, weights = fit_logistic(rows_at, np.array([label for label, _, _ in data]), ([a for a, _ in pairs], [b for _, b in pairs]), len(index), l2, penalty)
     return Model(bias, {f: float(weights[k]) for f, k in index.items()}, swap)
 
 
@@ -182,17 +189,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``max_rows`` labelled documents outside the held-out fifth, chosen by a hash of the id, written once."""
-    keys = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
-    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return shared.cut(shared.id_and_text(docs, id_col, text_col).join(F.broadcast(keys), "doc_id").select("doc_id", "text", "toxic"))
+    """At most ``max_rows`` labelled rows outside the held-out fifth, chosen by hashes of id and text, written once.
+
+    A document with both labels counts as toxic; rows of one id and text count once, rows of one id with different
+    texts each. Labels without a document, and those that are not 0 or 1, are left out.
+    """
+    keys = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
+    keys = keys.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = shared.id_and_text(docs, id_col, text_col).join(F.broadcast(keys), "doc_id").select("doc_id", "text", "toxic")
+    rows = shared.cut(rows.dropDuplicates(["doc_id", "text"]))
+    if rows.count() > max_rows:  # ids that repeat with different texts
+        rows = shared.cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows))
+    return rows
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` in 0 to 1 for every whole text, without a shuffle.
 
     Null and empty texts get the score of no features; rows that repeat and rows with a null id each
-    give a row; an empty table gives an empty one; other columns are never looked at.
+    give a row; an empty table gives an empty one; other columns are never looked at. A very long text is held whole
+    with the set of its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +219,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score at or over ``threshold``; rows with a null text stay."""
+    """``docs`` without the rows that score at or over ``threshold``.
+
+    Rows with a null or empty text stay; repeated rows go or stay together; an empty table gives an empty one; all columns stay.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
