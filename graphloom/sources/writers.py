@@ -70,7 +70,8 @@ def write_borders(owned: DataFrame, path: str) -> None:
 def write_parts(lines: DataFrame, path: str, name: str, order: str | None = None) -> str:
     """``value`` of each ``part`` as one text file ``<name>.<part>`` in the folder ``path``, in the order of column ``order``; returns ``path``.
 
-    A partition's file is written by one task, as the format has one file for each partition.
+    A partition's file is written by one task, as the format has one file for each partition. Without lines there is one
+    empty file, ``<name>.0``, so that the folder can be read.
     """
     spark, made = lines.sparkSession, f"{path}/making-{name}"
     dealt = lines.repartition("part")
@@ -79,11 +80,13 @@ def write_parts(lines: DataFrame, path: str, name: str, order: str | None = None
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     folder = to_path(made)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for kind in files.listStatus(folder):
-        if kind.isDirectory():
-            part = kind.getPath().getName().split("=")[1]
-            for one in files.listStatus(kind.getPath()):
-                files.rename(one.getPath(), to_path(f"{path}/{name}.{part}"))
+    kinds = [kind for kind in files.listStatus(folder) if kind.isDirectory()]
+    for kind in kinds:
+        part = kind.getPath().getName().split("=")[1]
+        for one in files.listStatus(kind.getPath()):
+            files.rename(one.getPath(), to_path(f"{path}/{name}.{part}"))
+    if not kinds:
+        files.create(to_path(f"{path}/{name}.0")).close()
     files.delete(folder, True)
     return path
 

@@ -34,3 +34,10 @@ def test_simulation_that_needs_more_rounds_than_its_sql_takes(spark, tmp_path):
     links = [(at(k, a), at(k, b)) for k in range(7) for a, b in ((0, 1), (0, 2), (1, 3), (1, 7), (2, 3), (2, 6), (3, 7), (6, 3), (7, 3))]
     links += [(at(k, 3), at(k + 1, 0)) for k in range(6)]
     assert agrees(spark, str(tmp_path), "sim_incremental", lineitem=linked(spark, links)) == ""
+
+
+def test_no_order_is_isolated(spark, tmp_path):
+    orders = ordered(spark, [(k, k % 3, DAY + datetime.timedelta(k % 4)) for k in range(20)])
+    assert agrees(spark, str(tmp_path), "isolated_scan", orders=orders) == ""
+
+
