@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,21 @@ from .recovery import cut
 from .supersteps import Metrics, relax, settle
 
 
-#: Edges that one task holds, about 200 bytes each.
+#: Edges that one task holds, about 100 bytes each with their Arrow and pandas copies.
 MOST_EDGES = 4_000_000
+#: Edges to a partition that ``enough_parts`` aims at.
+EDGES = 1_000_000
+
+
+def enough_parts(graph: Graph, least: int) -> int:
+    """So many partitions that each has about ``EDGES`` edges, but not fewer than ``least``."""
+    return max(least, -(-graph.edges.count() // EDGES))
 
 
 def _settle_part(key: tuple, edges: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
     """Dijkstra's search inside one partition from all values known there; what improved."""
-    targets: dict[int, list[tuple[int, float]]] = {}
-    for s, d, w in zip(edges["src"].tolist(), edges["dst"].tolist(), edges["weight"].tolist(), strict=True):
-        targets.setdefault(s, []).append((d, w))
+    order = np.argsort(edges["src"].to_numpy(), kind="stable")
+    src, dst, weight = (edges[c].to_numpy()[order] for c in ("src", "dst", "weight"))
     best = dict(zip(values["id"].tolist(), values["dist"].tolist(), strict=True))
     known = dict(best)
     queue = [(d, v) for v, d, c in zip(values["id"].tolist(), values["dist"].tolist(), values["changed"].tolist(), strict=True) if c]
@@ -35,7 +42,8 @@ def _settle_part(key: tuple, edges: pd.DataFrame, values: pd.DataFrame) -> pd.Da
         d, v = heapq.heappop(queue)
         if d > best[v]:
             continue
-        for t, w in targets.get(v, ()):
+        first, last = np.searchsorted(src, [v, v + 1])
+        for t, w in zip(dst[first:last].tolist(), weight[first:last].tolist(), strict=True):
             if d + w < best.get(t, float("inf")):
                 best[t] = d + w
                 heapq.heappush(queue, (d + w, t))

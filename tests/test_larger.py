@@ -5,6 +5,7 @@ import datetime
 import duckdb
 from oracle import compare
 
+from graphloom.operators import local_fixpoint
 from graphloom.plans import catalogue
 
 DAY = datetime.date(2020, 1, 1)
@@ -41,3 +42,9 @@ def test_no_order_is_isolated(spark, tmp_path):
     assert agrees(spark, str(tmp_path), "isolated_scan", orders=orders) == ""
 
 
+def test_parts_are_as_many_as_edges_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(local_fixpoint, "EDGES", 1, raising=False)
+    monkeypatch.setattr(local_fixpoint, "MOST_EDGES", 8)
+    assert agrees(spark, str(tmp_path), "sssp_by_parts", lineitem=linked(spark, [(k, k + 1) for k in range(12)])) == ""
+
+
