@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .recovery import ByKey, cut
-from .supersteps import Metrics, relax, settle
+from .supersteps import Metrics, relax, settle, sweep
 
 
 def min_label(graph: Graph, metrics: Metrics | None = None) -> DataFrame:
@@ -21,6 +21,18 @@ def min_label_continue(graph: Graph, state: DataFrame, messages: DataFrame, metr
     return _spread(graph.edges.select("src", "dst"), relax(state, messages, "label"), metrics)
 
 
+def min_label_along(paths: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """``min_label`` of a graph that is given as ``paths`` (``path``, ``at``, ``id``; see ``sweep``), whatever their lengths.
+
+    Goes on from a finished ``state`` (``id``, ``label``) of fewer paths if there is one.
+    """
+    rows = paths.select("path", "at", "id", F.lit(0).cast("long").alias("far"))
+    if state is not None:
+        rows = rows.join(state.select("id", "label"), "id", "left")
+    known = F.col("id") if state is None else F.coalesce("label", "id")
+    return sweep(rows.withColumn("label", known), "label").select("id", "label").distinct()
+
+
 def _spread(edges: DataFrame, start: DataFrame, metrics: Metrics | None) -> DataFrame:
     laid = ByKey(edges, "src")
 
