@@ -50,7 +50,7 @@ def test_parts_are_as_many_as_edges_need(spark, tmp_path, monkeypatch):
     assert agrees(spark, str(tmp_path), "sssp_by_parts", lineitem=linked(spark, [(k, k + 1) for k in range(12)])) == ""
 
 
-@pytest.mark.parametrize("name", ["min_label_directed"])
+@pytest.mark.parametrize("name", ["min_label_directed", "min_label_incremental"])
 def test_long_days_take_few_rounds(spark, tmp_path, monkeypatch, name):
     """One day of 230 orders is a path of 229 links, more than the SQL of the metrics follows; some customers and days cross it."""
     cuts, plain = [], supersteps.cut
