@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from oracle import compare
 
-from graphloom.operators import labels, local_fixpoint, supersteps
+from graphloom.operators import labels, local_fixpoint, shortest_paths, supersteps
 from graphloom.operators.graph import Graph
 from graphloom.plans import catalogue
 
@@ -50,7 +50,7 @@ def test_parts_are_as_many_as_edges_need(spark, tmp_path, monkeypatch):
     assert agrees(spark, str(tmp_path), "sssp_by_parts", lineitem=linked(spark, [(k, k + 1) for k in range(12)])) == ""
 
 
-@pytest.mark.parametrize("name", ["min_label_directed", "min_label_incremental"])
+@pytest.mark.parametrize("name", ["min_label_directed", "min_label_incremental", "superstep_metrics"])
 def test_long_days_take_few_rounds(spark, tmp_path, monkeypatch, name):
     """One day of 230 orders is a path of 229 links, more than the SQL of the metrics follows; some customers and days cross it."""
     cuts, plain = [], supersteps.cut
@@ -66,9 +66,10 @@ def test_long_days_take_few_rounds(spark, tmp_path, monkeypatch, name):
 
 
 def test_paths_that_meet_and_cross(spark):
-    """Labels along paths are those of the same links as a graph; an id may stand twice in a path."""
+    """Labels and hops along paths are those of the same links as a graph; an id may stand twice in a path."""
     walks = [(1, 2, 3, 1, 4), (5, 3, 6), (7, 5), (8, 2, 9, 9)]
     paths = spark.createDataFrame([(str(p), k + 1, v) for p, walk in enumerate(walks) for k, v in enumerate(walk)], "path string, at long, id long")
     graph = Graph.from_edges(spark.createDataFrame([x for walk in walks for x in zip(walk, walk[1:])], "src long, dst long"))  # noqa: B905
     values = lambda df: sorted(tuple(r) for r in df.collect())
     assert values(labels.min_label_along(paths)) == values(labels.min_label(graph))
+    assert values(shortest_paths.hops_along(paths, 7)) == values(shortest_paths.sssp(graph, 7))
