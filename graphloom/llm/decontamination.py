@@ -19,6 +19,8 @@ BROADCAST_ROWS = 200_000
 #: Upper sizes of the partitions of items by number of shingles.
 SIZES = (1, 2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 80, 100, 130, 170, 220, 300, 400, 550, 750, 1000)
 _SEED = 0x5851F42D4C957F2D
+#: Buckets of text hashes by which documents without candidates are left out before texts are shuffled; the table of them is broadcast.
+BUCKETS = 1 << 20
 #: Items that may have a shingle for it to be sketched before others.
 COMMON = 8
 
@@ -72,7 +74,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     Items are partitioned by size and each is reduced to a min-hash sketch (see ``sketches``); the hashes
     of all shingles of every whole document probe the sketches, in a broadcast join when their counted
     rows are few and a shuffled one otherwise; candidates are verified on the shingles themselves.
-    Only candidates are shuffled: their ids with the shingles of their items, and their texts once.
+    Only candidates are shuffled: their ids with the shingles of their items, and once their texts with those few that share a
+    bucket with one.
 
     Returns ``doc_id``, ``item_id``, ``n_shared``, ``n_item`` and ``containment``, once for each pair of
     ids (repeated rows of a document count once; rows with one id and different texts are taken together
@@ -94,7 +97,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     candidates = wanted.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list(F.struct("item_id", "want")).alias("items"))
     if found.count() <= BROADCAST_ROWS // 100:  # an item's shingles may be some kilobytes
         candidates = F.broadcast(candidates)
-    pairs = documents.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("dt"))).select("doc_id", "text", "items")
+    bucket = lambda t: F.pmod(t, F.lit(BUCKETS))
+    asked = shared.cut(found.select(bucket(F.col("t")).alias("b")).distinct())
+    likely = documents.join(F.broadcast(asked), bucket(F.xxhash64("text")) == F.col("b"), "left_semi")
+    pairs = likely.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("dt"))).select("doc_id", "text", "items")
     pairs = with_shingles(pairs, "text", "have", hashed=False).select("doc_id", "items", F.array_distinct("have").alias("have"))
     both = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(F.array_intersect(x["want"], F.col("have"))).cast("long").alias("n_shared"), F.size(x["want"]).cast("long").alias("n_item")))
     exact = pairs.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.item_id", "x.n_shared", "x.n_item")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, packed, suffix_dedup
 
@@ -231,6 +232,12 @@ def test_decontamination(spark, docs, texts):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in texts} - {i for i, _ in best if i is not None}
 
 
+def test_decontamination_shuffles_no_text_without_candidates(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    plan = decontamination.contained(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan.split("SortMergeJoin")[-1]
+
+
 def test_decontamination_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contained(docs, none).collect() == []
