@@ -19,29 +19,38 @@ from . import packed as packs
 from . import shared
 from .shared import NO_ID, U64
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, LONGER = 50, 16, 40
 #: Windows in a piece; documents from which an anchor's windows are dealt one by one; bytes of pieces
-#: in a bucket; indexes in a bucket; windows hashed at once.
-CHUNK, HOT, BUCKET, PARTS, BLOCK = 60, 20_000, 16 << 20, 16, 1 << 14
-_ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+#: in a bucket; indexes in a bucket; windows hashed at once; repeated texts that are broadcast.
+CHUNK, HOT, BUCKET, PARTS, BLOCK, FIRSTS = 60, 20_000, 16 << 20, 16, 1 << 14, 200_000
+_ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 
 
-def _least_hashes(data: np.ndarray) -> np.ndarray:
-    """For each window of ``LENGTH`` bytes, the least hash of its ``GRAM``-byte strings."""
+def _doublings(size: int) -> list[int]:
+    """Steps that make one of something into ``size``, each of as much as there is at most."""
+    out, have = [], 1
+    while have < size:
+        out.append(min(have, size - have))
+        have += out[-1]
+    return out
+
+
+def _least_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """For each window of ``LENGTH`` bytes, the least hash of its ``gram``-byte strings."""
     h = data.astype(np.uint64) + U64(1)
-    for odd, size in zip(_ODD, (1, 2, 4, 8), strict=True):
+    for odd, size in zip(_ODD, _doublings(gram), strict=False):
         h = h[:-size] * odd + h[size:]
         h ^= h >> U64(31)
     h = shared.mixed(h)
-    for step in (1, 2, 4, 8, 16, LENGTH - GRAM + 1 - 32):
+    for step in _doublings(LENGTH - gram + 1):
         h = np.minimum(h[:-step], h[step:])
     return h
 
 
-def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring windows with one anchor: first positions, numbers of windows, anchors, rows of documents.
 
-    A window is ``LENGTH`` bytes of one document and its anchor is the least hash of its ``GRAM``-byte
+    A window is ``LENGTH`` bytes of one document and its anchor is the least hash of its ``gram``-byte
     strings, so equal windows have equal anchors wherever they are.
     """
     n = len(data) - LENGTH + 1
@@ -50,7 +59,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         return none, none, np.zeros(0, np.uint64), none
     h = np.empty(n, np.uint64)
     for k in range(0, n, BLOCK):  # blocks stay in the cache
-        h[k : k + BLOCK] = _least_hashes(data[k : k + BLOCK + LENGTH - 1])
+        h[k : k + BLOCK] = _least_hashes(data[k : k + BLOCK + LENGTH - 1], gram)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
     valid = np.arange(n) + LENGTH <= at[1:][doc]
     new = valid.copy()
@@ -151,6 +160,14 @@ def suffix_ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def _stable_order(values: np.ndarray) -> np.ndarray:
+    """A stable argsort of small whole numbers, as one sort of plain integers that end in the position."""
+    bits = max(1, (len(values) - 1).bit_length()) if len(values) else 1
+    if len(values) and int(values.max()).bit_length() + bits > 63:
+        return np.argsort(values, kind="stable")
+    return np.sort((values << bits) | np.arange(len(values))) & ((1 << bits) - 1)
+
+
 class Strings:
     """Strings in one text, each followed by a mark below all bytes, and the order of its suffixes.
 
@@ -209,39 +226,47 @@ class RunIndex:
 
     SYMBOLS = 512
 
-    def __init__(self, text: Strings, chosen: np.ndarray, node: np.ndarray):
-        """``chosen`` (flags) and ``node`` (numbers from 0) are of strings."""
-        self.text, of = text, text.string
-        rows = text.suffixes[chosen[of[text.suffixes]]]
-        nodes = node[of[rows]]
-        order = np.argsort(nodes, kind="stable")
-        rows, nodes = rows[order], nodes[order]
+    def __init__(self, text: Strings, chosen: np.ndarray, node: np.ndarray, suffixes: np.ndarray | None = None):
+        """``chosen`` (flags) and ``node`` (numbers from 0) are of strings; or of several layers of them, a line each, without a common node.
+
+        ``suffixes``: those of all chosen strings at least, in order; else of all strings.
+        """
+        self.text, suffixes = text, text.suffixes if suffixes is None else suffixes
+        of, rows, nodes = text.string[suffixes], [], []
+        for flags, numbers in zip(np.atleast_2d(chosen), np.atleast_2d(node), strict=True):
+            some = np.flatnonzero(flags[of])
+            found = numbers[of[some]]
+            order = _stable_order(found)
+            rows.append(suffixes[some[order]])
+            nodes.append(found[order])
+        rows, nodes = np.concatenate(rows), np.concatenate(nodes)
         n = len(rows)
         key = nodes * self.SYMBOLS + text.codes[rows - 1]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         self.head, self.tail, self.key = heads, np.append(heads[1:], n) - 1, key[heads]
         jump = np.empty(n, np.int64)
-        jump[np.argsort(key, kind="stable")] = np.arange(n)
+        jump[_stable_order(key)] = np.arange(n)
         self.jump = jump[heads]
         self.head_at, self.tail_at = rows[self.head], rows[self.tail]
-        self.by_key = np.argsort(self.key, kind="stable")
+        self.by_key = _stable_order(self.key)
         self.key_run = self.key[self.by_key] * len(heads) + self.by_key
         self.nodes, self.origin = np.unique(nodes, return_index=True)
         self.origin_at = rows[self.origin]
 
     def statistics(self, strings: np.ndarray, node: np.ndarray, least: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Stream ``strings`` (numbers) from their ends, each through the index of its ``node``.
+        """Stream ``strings`` (numbers) from their ends, each through the index of its ``node``; numbers go on from layer to layer.
 
         Gives, step by step, positions, the length of the longest match that starts there and a position where it is.
         With ``least``, a string is given up once its match ends before its first ``least`` symbols do: a match that
         starts further left and is that long would go on past this end, and so would its part from here.
         """
         text, runs = self.text, len(self.head)
+        nodes, strings = node.ravel()[strings], strings % len(text.ends)
         sizes = text.ends[strings] - text.starts[strings]
         order = np.argsort(-sizes, kind="stable")  # longest first
-        strings, sizes = strings[order], sizes[order]
-        ends, base = text.ends[strings], node[strings] * self.SYMBOLS
-        home = np.searchsorted(self.nodes, node[strings])
+        nodes, strings, sizes = nodes[order], strings[order], sizes[order]
+        ends, base = text.ends[strings], nodes * self.SYMBOLS
+        home = np.searchsorted(self.nodes, nodes)
         home_row, home_at = self.origin[home], self.origin_at[home]
         row, at, size = home_row, home_at, np.zeros(len(strings), np.int64)
         begin = text.starts[strings] + least
@@ -277,12 +302,27 @@ class RunIndex:
             yield here, size, at
 
 
+def _can_match(strings: list[bytes], ranks: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Whether a string has an anchor of ``LONGER`` bytes in common with one of another owner in its group: else no window of it is in one."""
+    at = np.append(0, np.cumsum([len(s) for s in strings]))
+    _, _, anchors, of = runs(np.frombuffer(b"".join(strings), np.uint8), at, LONGER)
+    keys = shared.mixed(anchors ^ (groups[of].astype(np.uint64) * _ODD[0]))
+    order = np.argsort(keys)
+    k, r = keys[order], ranks[of[order]]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    common = np.repeat(np.minimum.reduceat(r, first) < np.maximum.reduceat(r, first), np.diff(np.append(first, len(k))))
+    out = np.zeros(len(strings), bool)
+    out[of[order[common]]] = True
+    return out
+
+
 def earlier(strings: list[bytes], owners: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
     """For each string and each of its windows, whether a string of a smaller owner in its group has the window.
 
     The owners of a group are halved again and again; each time the strings of the lower halves are indexed and those
     of the upper halves are streamed through, so every two owners meet in one step, and a match of ``LENGTH`` there is one in a
-    string of a smaller owner. Strings of which all windows are found need go no further, since who has them finds the
+    string of a smaller owner. Later steps, of fewer strings, are taken together, as layers of one index that is no larger than
+    the largest of one step. Strings that share no longer anchor are not indexed at all (see ``_can_match``). Strings of which all windows are found need go no further, since who has them finds the
     same earlier string.
     """
     order = np.lexsort((owners, groups))
@@ -296,29 +336,47 @@ def earlier(strings: list[bytes], owners: np.ndarray, groups: np.ndarray) -> lis
     np.maximum.at(most, group, rank)
     live = np.flatnonzero(most[group] > 0)
     out = [np.zeros(len(s) - LENGTH + 1, bool) for s in strings]
+    if len(live):
+        live = live[_can_match([strings[k] for k in live.tolist()], rank[live], group[live])]
     if not len(live):
         return out
     text = Strings([strings[k] for k in live.tolist()])
     rank, group = rank[live], group[live]
     found = np.zeros(len(text.codes), bool)
-    open_ = text.ends - text.starts - LENGTH + 1  # windows not found yet
-    for level in range(int(rank.max()).bit_length()):
-        upper = (rank >> level) & 1 == 1
-        _, node = np.unique((group << 32) | (rank >> (level + 1)), return_inverse=True)
-        asking = upper & (open_ > 0)
-        known = ~upper & (open_ > 0)
-        both = np.zeros(int(node.max()) + 1, bool)
-        both[node[asking]] = True
-        known &= both[node]
-        both[:] = False
-        both[node[known]] = True
-        asking &= both[node]
-        if not asking.any():
+    sizes = text.ends - text.starts
+    open_ = sizes - LENGTH + 1  # windows not found yet
+    most, suffixes = most[group], text.suffixes
+    level, levels, room = 0, int(rank.max()).bit_length(), 0
+    while level < levels:
+        suffixes = suffixes[(most >> level > 0)[text.string[suffixes]]]  # of groups that still have owners to halve
+        layers, indexed, numbers = [], 0, 0
+        while level < levels:
+            upper = (rank >> level) & 1 == 1
+            _, node = np.unique((group << 32) | (rank >> (level + 1)), return_inverse=True)
+            asking = upper & (open_ > 0)
+            known = ~upper & (open_ > 0)
+            both = np.zeros(int(node.max()) + 1, bool)
+            both[node[asking]] = True
+            known &= both[node]
+            both[:] = False
+            both[node[known]] = True
+            asking &= both[node]
+            size = int(sizes[known].sum())
+            if layers and indexed + size > room:
+                break
+            level += 1
+            if asking.any():
+                layers.append((known, asking, node + numbers))
+                indexed, numbers, room = indexed + size, numbers + len(both), max(room, size)
+            if level == 1:
+                break  # most of what is found is found first, and whole strings then leave
+        if not layers:
             continue
-        for here, size, _ in RunIndex(text, known, node).statistics(np.flatnonzero(asking), node, LENGTH):
+        known, asking, node = (np.stack(x) for x in zip(*layers, strict=True))
+        for here, size, _ in RunIndex(text, known, node, suffixes).statistics(np.flatnonzero(asking), node, LENGTH):
             found[here[size >= LENGTH]] = True
         total = np.append(0, np.cumsum(found))
-        open_ = text.ends - text.starts - LENGTH + 1 - (total[text.ends] - total[text.starts])
+        open_ = sizes - LENGTH + 1 - (total[text.ends] - total[text.starts])
     for k, a, b in zip(live.tolist(), text.starts.tolist(), text.ends.tolist(), strict=True):
         out[k] = found[a : b - LENGTH + 1]
     return out
@@ -406,6 +464,24 @@ def _mark(buckets: int):
     return mark
 
 
+def _without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``id_and_text`` without those whose whole text a smaller id has too, and those (``doc_id``, ``size``), or None if there are none.
+
+    Texts are told apart by SHA-256. Who has the text under the least id stands for the others, since whatever they share with a larger id it
+    shares too. Texts travel only if the repeated ones are more than ``FIRSTS``.
+    """
+    number, digest = F.coalesce("doc_id", F.lit(int(NO_ID))), F.when(F.octet_length("text") >= LENGTH, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    named = rows.withColumns({"number": number, "digest": digest})
+    firsts = named.where("digest is not null").groupBy("digest").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    firsts = shared.cut(firsts.where("first < last").select("digest", "first"))
+    n = firsts.count()
+    if not n:
+        return rows, None
+    firsts = F.broadcast(firsts) if n <= FIRSTS else firsts
+    again = named.select("doc_id", "number", "digest", F.octet_length("text").cast("long").alias("size")).join(firsts, "digest").where("first < number")
+    return named.join(firsts.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("first") < F.col("number")), "left_anti").select("doc_id", "text"), again.select("doc_id", "size")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Remove from every whole text the bytes of 50-byte strings that start in a document of smaller id too.
 
@@ -413,6 +489,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     ``starts`` and ``ends`` (byte offsets of the maximal removed runs) and ``kept`` (what is left, which
     need not be UTF-8). Matches are judged on the input and never cross documents.
 
+    0. Documents whose whole text a smaller id has too are known by it; the others go on.
     1. Every window of 50 bytes has an anchor, the least hash of its 16-byte strings. One exchange of
        distinct anchors tells each batch which of its anchors other documents have; the rest of the text
        cannot match.
@@ -427,7 +504,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     id do not match each other by it. A null id counts as larger than all; an empty table gives an empty one; other
     columns are ignored. A very long text is a batch by itself: the tasks that hash and mark it hold about 40 bytes for each of its bytes.
     """
-    packed = packs.pack(docs, id_col, text_col)
+    rows, again = _without_copies(shared.id_and_text(docs, id_col, text_col))
+    packed = packs.pack(rows)
     flags = packs.shared_flags(packed, _anchors, packs.bucket_count(packed), HOT)
     shared.release(docs.sparkSession)
     n_shared = flags.agg(F.sum("n_shared")).first()[0] or 0
@@ -441,4 +519,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     if not texts:
         whole, kind = mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         mark = lambda key, a, b: whole(key, a, b).drop(columns=["starts", "ends", "kept"])
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(mark, kind)
+    out = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(mark, kind)
+    if again is None:
+        return out
+    told = again.select("doc_id", F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("size").alias("ends"), F.lit(b"").alias("kept"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
+    return out.union(told.select(out.columns))

@@ -103,6 +103,45 @@ def test_result_rests_on_matching_statistics(docs, texts, monkeypatch):
     assert sum(n for (_, n), c in right.items() for _ in range(c)) == sum(int(mask.sum()) for _, mask in removed(texts).values())
 
 
+def test_strings_without_a_longer_anchor_are_not_indexed(monkeypatch):
+    """Strings that share what is shorter than a match cost no index, and steps of few strings share one."""
+    rng, made, indexed = random.Random(4), [], []
+    Strings, RunIndex = suffix_dedup.Strings, suffix_dedup.RunIndex
+    monkeypatch.setattr(suffix_dedup, "Strings", lambda strings: indexed.append(len(strings)) or Strings(strings))
+    monkeypatch.setattr(suffix_dedup, "RunIndex", lambda *a: made.append(1) or RunIndex(*a))
+    other = lambda n: bytes(rng.choices(range(60, 120), k=n))
+    apart = [other(20) + b"sixteen-bytes-or-so" + other(20) for _ in range(300)]
+    assert not any(x.any() for x in suffix_dedup.earlier(apart, np.arange(300), np.zeros(300, np.int64))) and not indexed
+    base = other(70)
+    close = [*apart[:200], *(base[:k] + other(1) + base[k + 1 :] for k in rng.choices(range(70), k=100))]
+    found = suffix_dedup.earlier(close, np.arange(300), np.zeros(300, np.int64))
+    assert [x.tolist() for x in found] == earlier_by_definition(close, range(300), [0] * 300)
+    assert indexed[0] <= 100 and len(made) < (299).bit_length()
+
+
+@pytest.mark.parametrize("firsts", [200_000, 0])
+def test_copies_of_whole_texts_are_not_hashed_again(spark, monkeypatch, firsts):
+    """Copies under larger ids go as a whole; those under the same id, null ids and short texts keep to the definition."""
+    monkeypatch.setattr(suffix_dedup, "FIRSTS", firsts)
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh é", k=rng.choice([10, 49, 50, 200]))) for _ in range(12)]
+    rows = [(100 * copy + k, t) for copy in range(4) for k, t in enumerate(base)] + [(3, base[3]), (None, base[4]), (None, base[4]), (None, "x" * 60), (-5, base[11] + base[10]), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = packs_of(monkeypatch)
+    found = suffix_dedup.dedup(docs)
+    assert hashed[0].count() < len(rows) / 2
+    expected = Counter(digest(rows[k][0], b, mask) for k, (b, mask) in removed(rows).items())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()) == expected
+    assert Counter(suffix_dedup.dedup(docs, texts=False).collect()) == Counter(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+
+
+def packs_of(monkeypatch):
+    """The frames that are packed from now on."""
+    seen, pack = [], packed.pack
+    monkeypatch.setattr(packed, "pack", lambda rows, *a: seen.append(rows) or pack(rows, *a))
+    return seen
+
+
 def test_index_follows_runs_and_not_text():
     """Copies of one text with a change each: ten times the copies, hardly more runs."""
     rng = random.Random(3)
