@@ -179,7 +179,7 @@ def _still(state: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``state`` with the keys of ``rows`` and the largest partner that they allow, without nodes that can have no partner."""
     kept = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
     most = F.floor((100 + percent) * F.size("keys") / percent).cast("long") - F.col("n")
-    return shared.cut(state.drop("keys", "most").join(kept, "id").withColumn("most", most).where(F.col("most") >= _least(percent)))
+    return shared.cut_few(state.drop("keys", "most").join(kept, "id").withColumn("most", most).where(F.col("most") >= _least(percent)))
 
 
 def pruned(state: DataFrame, percent: int) -> DataFrame:
@@ -215,21 +215,21 @@ def matrix_links(state: DataFrame, percent: int) -> DataFrame:
     sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("of"))
     spread = state.groupBy("m", _class(F.col("n")).alias("s")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
     state = state.withColumn("s", _class(F.col("n"))).join(spread, ["m", "s"]).join(sizes, "c")
-    state = shared.cut(state.select("id", "node", "c", "n", "most", F.struct("of", "c").alias("rank"), F.xxhash64("m", "s", F.pmod("id", "chunks")).alias("g"), "keys"))
+    state = shared.cut_few(state.select("id", "node", "c", "n", "most", F.struct("of", "c").alias("rank"), F.xxhash64("m", "s", F.pmod("id", "chunks")).alias("g"), "keys"))
     rows = _rows(state)
-    matrix = shared.cut(rows.groupBy("key", "g").agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("most").alias("reach")))
+    matrix = shared.cut_few(rows.groupBy("key", "g").agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("most").alias("reach")))
     counts = matrix.groupBy("key").agg(F.count(F.lit(1)).alias("n_groups"))
     rarest = F.row_number().over(Window.partitionBy("id").orderBy("n_groups", "key"))
     have = F.count(F.lit(1)).over(Window.partitionBy("id"))
     need = F.ceil(percent * (F.col("n") + _least(percent)) / (100 + percent))
     rare = rows.join(counts, "key").select("id", "n", "most", F.col("rank").alias("own"), "key", rarest.alias("place"), have.alias("have")).where(F.col("place") <= F.col("have") - need + 1)
     fits = (F.col("own") < F.col("top")) & (F.col("small") <= F.col("most")) & (F.col("n") <= F.col("reach")) & (100 * F.col("large") >= percent * F.col("n"))
-    asked = shared.cut(rare.join(matrix, "key").where(fits).select("id", "g").distinct())
-    parts = shared.cut(asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+    asked = shared.cut_few(rare.join(matrix, "key").where(fits).select("id", "g").distinct())
+    parts = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     nodes = state.select("id", "node", "c", "n", "most", "keys")
     queries = asked.join(parts, "g").select(F.col("g").alias("qg"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("qp"), "id").join(nodes, "id").drop("id")
     members = state.select("g", "node", "c", "n", "keys").join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return shared.cut(queries.groupBy("qg", "qp").cogroup(members.groupBy("g", "part")).applyInPandas(_open(percent), "a binary, b binary"))
+    return shared.cut_few(queries.groupBy("qg", "qp").cogroup(members.groupBy("g", "part")).applyInPandas(_open(percent), "a binary, b binary"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,7 +266,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     some = rows.where("node is not null")
     first = lambda name: F.first(name, ignorenulls=True).alias(name)
     nodes = shared.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n"), F.min("alone").alias("alone"), first("mins"), first("tokens")))
-    rows = shared.cut(rows.select("doc_id", "n_shingles", "node"))
+    rows = shared.cut_few(rows.select("doc_id", "n_shingles", "node"))
     del some
     shared.release(spark)
 
@@ -275,7 +275,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     pairs = keyed.join(centres, ["r", "m"]).where((F.col("node") != F.col("centre")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))).select("node", "centre").distinct()
     tokens = nodes.select("node", "tokens")
     stars = pairs.join(tokens, "node").join(tokens.select(F.col("node").alias("centre"), F.col("tokens").alias("other")), "centre").select("node", "centre", "tokens", "other").mapInArrow(_verify(percent), "node binary, centre binary")
-    stars = shared.cut(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    stars = shared.cut_few(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")))
     del keyed, centres, pairs
     shared.release(spark)
 

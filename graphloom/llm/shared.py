@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, shared_dir
 
-__all__ = ["NO_ID", "U64", "cut", "id_and_text", "id_array", "ids_of", "mixed", "partitions", "release", "remove", "shared_dir", "slices", "utf8"]
+__all__ = ["NO_ID", "U64", "cut", "cut_few", "id_and_text", "id_array", "ids_of", "mixed", "partitions", "release", "remove", "shared_dir", "slices", "utf8"]
 
 #: Stands for a null id where ids are held as 64-bit integers.
 NO_ID = np.iinfo(np.int64).max
@@ -30,6 +30,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut`` for a frame that is small beside the input: dealt anew to a quarter of the partitions, but for 8, so that fewer files are written.
+
+    On a local file system without Hadoop's native library, an executor starts four processes (``chmod``) for each file of a cut.
+    """
+    n = partitions(df.sparkSession)
+    return cut(df.repartition(max(8, n // 4)) if n > 8 else df)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

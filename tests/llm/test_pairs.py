@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontamination, jaccard_join, packed, suffix_dedup
+from graphloom.llm import components, decontamination, jaccard_join, packed, shared, suffix_dedup
 
 BIG = 1 << 62
 
@@ -142,6 +142,40 @@ def packs_of(monkeypatch):
     return seen
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_on_the_driver_and_in_rounds(spark, monkeypatch, few):
+    """Chains, stars, loops and repeated links, settled on the driver up to a number of links and by rounds beyond; nothing is written for few."""
+    monkeypatch.setattr(components, "FEW", few)
+    cuts, cut = [], shared.cut
+    rng = random.Random(6)
+    names = [bytes(rng.choices(range(256), k=4)) for _ in range(200)]
+    links = [(names[k], names[k + 1]) for k in range(40)] + [(names[50], names[k]) for k in range(50, 70)] + [(rng.choice(names[70:]), rng.choice(names[70:])) for _ in range(60)]
+    least = {x: x for link in links for x in link}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    table = shared.cut(spark.createDataFrame(links, "a binary, b binary"))
+    monkeypatch.setattr(shared, "cut", lambda df: cuts.append(1) or cut(df))
+    found = {bytes(r["node"]): bytes(r["label"]) for r in components.components(table).collect()}
+    assert found == least and bool(cuts) == (few == 0)
+    assert components.components(table.limit(0)).collect() == []
+
+
+def test_small_cuts_write_few_files(spark, docs, monkeypatch):
+    """Frames that are small beside the input are not cut into a file for each shuffle partition."""
+    sizes, cut = [], shared.cut
+    monkeypatch.setattr(shared, "cut", lambda df: sizes.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = jaccard_join.join(docs).count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert rows == docs.count() and sum(n > 12 for n in sizes) <= 3
+
+
 def test_index_follows_runs_and_not_text():
     """Copies of one text with a change each: ten times the copies, hardly more runs."""
     rng = random.Random(3)
